@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embeddings import op6_embeddings
 from .simhash import op3_simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op3_simhash": op3_simhash,
+    "op6_embeddings": op6_embeddings,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
