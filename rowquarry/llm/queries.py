@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .embeddings import op6_embeddings
+from .packing import op8_packing
 from .simhash import op3_simhash
+from .tokens import op1_token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_token_counts": op1_token_counts,
     "op3_simhash": op3_simhash,
     "op6_embeddings": op6_embeddings,
+    "op8_packing": op8_packing,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
