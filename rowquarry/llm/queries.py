@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .embeddings import op6_embeddings
+from .html import op4_html
 from .packing import op8_packing
+from .secrets import op2_secrets
 from .simhash import op3_simhash
 from .tokens import op1_token_counts
 
@@ -15,7 +17,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
+    "op2_secrets": op2_secrets,
     "op3_simhash": op3_simhash,
+    "op4_html": op4_html,
     "op6_embeddings": op6_embeddings,
     "op8_packing": op8_packing,
 }
