@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .embeddings import op6_embeddings
 from .html import op4_html
 from .packing import op8_packing
+from .quality import op7_quality
 from .secrets import op2_secrets
 from .simhash import op3_simhash
 from .tokens import op1_token_counts
+from .toxicity import op5_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,7 +22,9 @@ QUERIES: dict[str, Query] = {
     "op2_secrets": op2_secrets,
     "op3_simhash": op3_simhash,
     "op4_html": op4_html,
+    "op5_toxicity": op5_toxicity,
     "op6_embeddings": op6_embeddings,
+    "op7_quality": op7_quality,
     "op8_packing": op8_packing,
 }
 
