@@ -23,11 +23,11 @@ from .common import documents, fold, raw_texts, slices
 from .training import labelled, unlabelled, with_texts
 
 #: Most positives and most unlabelled documents that the model is fitted on.
-POSITIVES = 3_000
-UNLABELLED = 6_000
+POSITIVES = 6_000
+UNLABELLED = 12_000
 THRESHOLD = 0.3
 HIDDEN = 24
-ROUNDS = 600
+ROUNDS = 700
 
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
@@ -97,7 +97,7 @@ class Network:
         w, b, v, c = self.weights
         return np.tanh(self._inputs(x) @ w + b) @ v + c[0]
 
-    def step(self, x: np.ndarray, slope: np.ndarray, rate: float, decay: float = 1e-4) -> None:
+    def step(self, x: np.ndarray, slope: np.ndarray, rate: float, decay: float = 1e-3) -> None:
         """One step against ``slope``, the risk's derivative by each row's logit."""
         w, b, v, _ = self.weights
         z = self._inputs(x)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op10_decontamination
 from .embeddings import op6_embeddings
 from .html import op4_html
 from .packing import op8_packing
@@ -26,6 +27,7 @@ QUERIES: dict[str, Query] = {
     "op6_embeddings": op6_embeddings,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
+    "op10_decontamination": op10_decontamination,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
