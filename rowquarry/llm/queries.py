@@ -13,6 +13,7 @@ from .packing import op8_packing
 from .quality import op7_quality
 from .secrets import op2_secrets
 from .simhash import op3_simhash
+from .substrings import op9_substrings
 from .tokens import op1_token_counts
 from .toxicity import op5_toxicity
 
@@ -27,6 +28,7 @@ QUERIES: dict[str, Query] = {
     "op6_embeddings": op6_embeddings,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
+    "op9_substrings": op9_substrings,
     "op10_decontamination": op10_decontamination,
 }
 
