@@ -180,6 +180,47 @@ def latent_space(spark: SparkSession, items: Items, idf: np.ndarray, rank: int =
     return basis
 
 
+class Searcher:
+    """The benchmark in latent space, as it is broadcast: its size is the benchmark's and the rank's."""
+
+    def __init__(self, items: Items, idf: np.ndarray, space: np.ndarray):
+        self.items = items
+        self.word_vectors = np.concatenate([idf[:, None] * space, np.zeros((1, space.shape[1]), np.float32)])
+        latent = items.vectors(idf) @ space
+        self.norm = np.linalg.norm(latent, axis=1)
+        self.unit = (latent / np.maximum(self.norm, 1e-9)[:, None]).T.copy()
+
+    def found(self, texts_: list[str]) -> list[tuple[int, int, float, bool]]:
+        """(text's place, item's place, lcs, answer) of every item that a text holds."""
+        nothing = len(self.items.vocabulary)
+        cut = [words(t) for t in texts_]
+        ids, first = _blocks([_ids(self.items.vocabulary, x) for x in cut], nothing)
+        hits: dict[tuple[int, int], tuple[float, bool]] = {}
+        for at in range(0, len(ids), BLOCK_WORDS // STRIDE):
+            part = ids[at : at + BLOCK_WORDS // STRIDE + 1]  # one row more: windows are two rows
+            sums = _row_sums(part, self.word_vectors, nothing)
+            pair = sums[:-1] + sums[1:] if len(sums) > 1 else sums
+            length = np.linalg.norm(pair, axis=1)
+            cosine_times = pair @ self.unit  # cosine times the window's length
+            near = (cosine_times >= NEAR * self.norm[None, :]) | (cosine_times >= NEAR * length[:, None])
+            near &= length[:, None] > 1e-6
+            for r, p in zip(*np.nonzero(near), strict=True):
+                doc = int(np.searchsorted(first, at + r, "right")) - 1
+                _check(self.items, cut[doc], (int(at + r) - int(first[doc])) * STRIDE, int(p), doc, hits)
+        return [(doc, i, lcs, a) for (doc, i), (lcs, a) in sorted(hits.items()) if lcs >= SAME or a]
+
+
+def searcher(docs: DataFrame, benchmark: DataFrame, text_col: str, answer_col: str | None) -> Searcher | None:
+    """None if the benchmark has no item that could be found."""
+    answer = F.col(answer_col) if answer_col else F.lit(None).cast("string")
+    items = Items([tuple(r) for r in benchmark.select("item_id", "text", answer.alias("answer")).toLocalIterator()])
+    if not items.items:
+        return None
+    frequency, windows = window_frequencies(docs.select(F.col(text_col).alias("text")), items.vocabulary)
+    idf = np.log((windows + 1) / (frequency + 1)).astype(np.float32) + 1e-3
+    return Searcher(items, idf, latent_space(docs.sparkSession, items, idf))
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", answer_col: str | None = None
 ) -> DataFrame:
@@ -188,60 +229,58 @@ def contaminated(
     ``lcs`` is the share of the item's words found in order, ``answer`` whether its answer (the
     column ``answer_col``, else its last sentence) was needed and found.
     """
-    spark = docs.sparkSession
-    answer = F.col(answer_col) if answer_col else F.lit(None).cast("string")
-    item_type = benchmark.schema["item_id"].dataType
-    items = Items([tuple(r) for r in benchmark.select("item_id", "text", answer.alias("answer")).toLocalIterator()])
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, item_id {item_type.simpleString()}, lcs double, answer boolean"
-    if not items.items:
-        return spark.createDataFrame([], schema)
-    frequency, windows = window_frequencies(rows, items.vocabulary)
-    idf = np.log((windows + 1) / (frequency + 1)).astype(np.float32) + 1e-3
-    space = latent_space(spark, items, idf)
-    latent = items.vectors(idf) @ space
-    norm = np.linalg.norm(latent, axis=1)
-    shared = spark.sparkContext.broadcast(
-        (items, np.concatenate([idf[:, None] * space, np.zeros((1, space.shape[1]), np.float32)]), latent, norm)
-    )
+    item_type = benchmark.schema["item_id"].dataType.simpleString()
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, item_id {item_type}, lcs double, answer boolean"
+    search = searcher(docs, benchmark, text_col, answer_col)
+    if search is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    shared = docs.sparkSession.sparkContext.broadcast(search)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, word_vectors, latent, norm = shared.value
-        nothing = len(items.vocabulary)
-        unit = (latent / np.maximum(norm, 1e-9)[:, None]).T.copy()
         for b in slices(batches, 64):
-            found = [words(t) for t in texts(b, "text")]
-            ids, first = _blocks([_ids(items.vocabulary, x) for x in found], nothing)
-            hits: dict[tuple[int, int], tuple[float, bool]] = {}
-            for at in range(0, len(ids), BLOCK_WORDS // STRIDE):
-                part = ids[at : at + BLOCK_WORDS // STRIDE + 1]  # one row more: windows are two rows
-                sums = _row_sums(part, word_vectors, nothing)
-                pair = sums[:-1] + sums[1:] if len(sums) > 1 else sums
-                length = np.linalg.norm(pair, axis=1)
-                cosine_times = pair @ unit  # cosine times the window's length
-                near = cosine_times >= NEAR * np.minimum(norm[None, :], length[:, None])
-                near &= length[:, None] > 1e-6
-                for r, p in zip(*np.nonzero(near), strict=True):
-                    doc = int(np.searchsorted(first, at + r, "right")) - 1
-                    _check(items, found[doc], (int(at + r) - int(first[doc])) * STRIDE, int(p), doc, hits)
-            good = [(doc, items.ids[i], lcs, a) for (doc, i), (lcs, a) in sorted(hits.items()) if lcs >= SAME or a]
-            if good:
+            if good := shared.value.found(texts(b, "text")):
                 doc, item, lcs, a = zip(*good, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id").take(pa.array(doc)), pa.array(item), pa.array(lcs), pa.array(a)],
+                    [b.column("id").take(pa.array(doc)), pa.array([shared.value.items.ids[i] for i in item]), pa.array(lcs), pa.array(a)],
                     ["id", "item_id", "lcs", "answer"],
                 )
 
     return rows.mapInArrow(run, schema)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", answer_col: str | None = None) -> DataFrame:
+    """The rows of ``docs`` that hold no item of the benchmark, whole; no shuffle."""
+    search = searcher(docs, benchmark, text_col, answer_col)
+    if search is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(search)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 64):
+            stay = np.ones(b.num_rows, bool)
+            stay[[doc for doc, *_ in shared.value.found(texts(b, text_col))]] = False
+            yield b.filter(pa.array(stay))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _row_sums(ids: np.ndarray, vectors: np.ndarray, nothing: int) -> np.ndarray:
-    """Sums of the word vectors of each row; words outside the vocabulary cost nothing."""
-    row, col = np.nonzero(ids != nothing)
-    out = np.zeros((len(ids), vectors.shape[1]), np.float32)
-    if len(row):
-        start = np.nonzero(np.diff(row, prepend=-1))[0]
-        out[row[start]] = np.add.reduceat(vectors[ids[row, col]], start, axis=0)
+    """Sums of the word vectors of each row; words outside the vocabulary cost nothing.
+
+    The k-th known words of all rows that have so many are added at once.
+    """
+    known = np.sort(ids, axis=1)  # the number for unknown words is the largest
+    count = (known != nothing).sum(axis=1)
+    order = np.argsort(-count, kind="stable")
+    known, rest = known[order], np.searchsorted(-count[order], -np.arange(ids.shape[1]), "left")
+    sums = np.zeros((len(ids), vectors.shape[1]), np.float32)
+    for k, n in enumerate(rest.tolist()):  # n rows have more than k known words
+        if not n:
+            break
+        sums[:n] += vectors.take(known[:n, k], axis=0)
+    out = np.empty_like(sums)
+    out[order] = sums
     return out
 
 

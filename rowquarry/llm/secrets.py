@@ -92,21 +92,21 @@ def redacted(docs: DataFrame, ledger: BlobLedger, text_col: str = "text", rules:
     """``docs`` with every finding of the ledger replaced by ``<kind>``; overlapping findings become one."""
     held = ledger.read(rules).where(F.size("findings") > 0)
     held = held.select(F.col("blob").alias("__blob"), F.col("findings").alias("__findings"))
+    whole = docs.withColumn("__blob", _blob(text_col)).join(held, "__blob", "left")
+    text = F.col(text_col)
+    none = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("long").alias("at"))
 
-    @F.udf("string")
-    def cut(text, findings):
-        out, at = [], 0
-        for f in findings:
-            if f.start >= at:
-                out += [text[at : f.start], f"<{f.kind}>"]
-            at = max(at, f.end)
-        return "".join([*out, text[at:]])
+    def step(acc, f):
+        before = text.substr((acc["at"] + 1).cast("int"), (f["start"] - acc["at"]).cast("int"))
+        more = F.when(f["start"] >= acc["at"], F.array(before, F.concat(F.lit("<"), f["kind"], F.lit(">"))))
+        out = F.concat(acc["out"], F.coalesce(more, F.array().cast("array<string>")))
+        return F.struct(out.alias("out"), F.greatest(acc["at"], f["end"]).alias("at"))
 
-    whole = docs.withColumn("__blob", _blob(text_col)).join(held, "__blob", "left")
-    # the few rows with findings alone pass through Python
-    clean = whole.where("__findings is null").select(*docs.columns)
-    dirty = whole.where("__findings is not null").withColumn(text_col, cut(text_col, "__findings")).select(*docs.columns)
-    return clean.unionByName(dirty)
+    def finish(acc):
+        return F.concat(F.array_join(acc["out"], ""), text.substr((acc["at"] + 1).cast("int"), F.length(text)))
+
+    cut = F.when(F.col("__findings").isNull(), text).otherwise(F.aggregate("__findings", none, step, finish))
+    return whole.withColumn(text_col, cut).select(*docs.columns)
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
