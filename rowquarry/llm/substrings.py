@@ -3,27 +3,32 @@
 A window is ``WINDOW`` consecutive words of a document. Of the hashes of the shorter word runs in a
 window, the smallest is its fingerprint: equal windows have equal fingerprints, and a document has
 about one fingerprint per five windows. The index holds immutable runs of (fingerprint, document),
-each sorted by fingerprint within its files. A new batch merges its fingerprints with all runs;
-only documents that share one are read again, and their windows are verified by two independent
-64-bit hashes of the whole word sequence. Runs are compacted into one when they become many.
+each a sequence of sorted blocks. A new batch is merged with all runs on the fingerprint; only
+documents that share one are read again, and their windows are verified by two independent hashes
+of the whole word sequence. Runs are compacted into one sorted run when they become many.
+
+Whatever many documents hold is combined before it is shuffled: a block of documents sends one row
+of a fingerprint or window that several of them hold, so no task receives more rows of a key than
+there are blocks.
 
 Defined results: a null or empty text has no words and keeps the empty text; texts of fewer than
 ``WINDOW`` words lose nothing; a window that repeats within one document alone stays; rows that
-repeat an id count as one document of that id, each with its own result, if their texts are equal
-(ids are expected to be unique); an empty table gives no rows; other columns are ignored, whatever
-their names.
+repeat an id count as one document of that id, each with its own result (ids are expected to be
+unique); rows without an id are not compared and lose nothing; an empty table gives no rows; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, raw_texts, shared_path, slices, written
+from .common import documents, raw_texts, shared_path, slices
 
 WINDOW = 13
 #: Words of the runs whose smallest hash is a window's fingerprint.
@@ -32,6 +37,8 @@ RUN = 5
 CACHE = 400_000
 #: Runs of an index before they are compacted.
 MOST_RUNS = 8
+#: Fingerprints or windows that a task holds and combines at once.
+BLOCK = 1_500_000
 
 _BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _MIX = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -61,9 +68,12 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def _rolled(h: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
     """Hashes of all runs of ``n`` word hashes."""
-    out = np.zeros(max(len(h) - n + 1, 0), np.uint64)
-    for i in range(n):
-        out = out * base + _mixed(h[i : len(h) - n + 1 + i] ^ base)
+    m = _mixed(h ^ base)
+    size = max(len(h) - n + 1, 0)
+    out = np.zeros(size, np.uint64)
+    for i in range(n if size else 0):
+        out *= base
+        out += m[i : size + i]
     return _mixed(out)
 
 
@@ -82,34 +92,75 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
 
+#: What a block knows of a fingerprint: one of its documents has it; several have it, this row
+#: stands for them; several have it.
+ALONE, STANDS, STOOD_FOR = 0, 1, 2
+
+
 def fingerprints(rows: DataFrame) -> DataFrame:
-    """(fp long, id long), once per document and fingerprint."""
+    """(fp long, id long, state byte), once per document and fingerprint; blocks are sorted by ``fp``."""
+
+    def block(fps: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
+        fp, owner = np.concatenate(fps), np.concatenate(owners)
+        order = np.lexsort((owner, fp))
+        fp, owner = fp[order], owner[order]
+        first = np.concatenate([[True], fp[1:] != fp[:-1]]) if len(fp) else np.empty(0, bool)
+        new = first | np.concatenate([[True], owner[1:] != owner[:-1]]) if len(fp) else first
+        fp, owner, first = fp[new], owner[new], first[new]  # rows that repeat an id
+        last = np.concatenate([first[1:], [True]]) if len(fp) else first
+        state = np.where(first, np.where(last, ALONE, STANDS), STOOD_FOR).astype(np.int8)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (fp, owner, state)], ["fp", "id", "state"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
+        fps, owners, held = [], [], 0
         for b in slices(batches, 64):
-            ids = b.column("id").to_numpy(zero_copy_only=False)
-            fps, owners = [], []
-            for i, text in zip(ids, raw_texts(b, "text"), strict=True):
-                fp = np.unique(window_fingerprints(hashes.of(text.split())))
-                fps.append(fp.view(np.int64)), owners.append(np.full(len(fp), i, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (fps, owners)], ["fp", "id"])
-
-    return rows.mapInArrow(run, "fp long, id long")
+            for i, text in zip(b.column("id").to_numpy(), raw_texts(b, "text"), strict=True):
+                fp = np.unique(window_fingerprints(hashes.of(text.split())).view(np.int64))
+                fps.append(fp), owners.append(np.full(len(fp), i, np.int64))
+                held += len(fp)
+            if held >= BLOCK:
+                yield block(fps, owners)
+                fps, owners, held = [], [], 0
+        if fps:
+            yield block(fps, owners)
+
+    return rows.where("id is not null").mapInArrow(run, "fp long, id long, state byte")
+
+
+def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (fp, id): those that stand alone in their block but not in the batch."""
+    carry = None  # the last row so far, as arrays of one
+    for b in batches:
+        fp, owner, state = (b.column(c).to_numpy() for c in ("fp", "id", "state"))
+        sent = False
+        if carry is not None:
+            sent = carry[3]
+            fp, owner, state = (np.concatenate(x) for x in zip(carry[:3], (fp, owner, state), strict=True))
+        if not len(fp):
+            continue
+        same = np.concatenate([[False], fp[1:] == fp[:-1], [False]])
+        shared = same[1:] | same[:-1]
+        # the last row waits for the next batch, unless its run has begun already
+        shared[0] &= not sent
+        out = shared & (state == ALONE)
+        yield pa.RecordBatch.from_arrays([pa.array(owner[out]), pa.array(fp[out])], ["id", "fp"])
+        carry = (fp[-1:], owner[-1:], state[-1:], bool(shared[-1]) or (sent and len(fp) == 1))
 
 
 def _spans(flags: np.ndarray) -> np.ndarray:
     """The words that a flagged window covers."""
+    at = flags.nonzero()[0]
     edge = np.zeros(len(flags) + WINDOW, np.int32)
-    np.add.at(edge, flags.nonzero()[0], 1)
-    np.add.at(edge, flags.nonzero()[0] + WINDOW, -1)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + WINDOW, -1)
     return np.cumsum(edge)[:-1] > 0
 
 
 class SubstringIndex:
-    """Fingerprints of all documents seen, in sorted immutable Parquet runs under one path."""
+    """Fingerprints of all documents seen, in immutable Parquet runs of sorted blocks under one path."""
 
-    SCHEMA = "fp long, id long"
+    SCHEMA = "fp long, id long, state byte"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -119,21 +170,25 @@ class SubstringIndex:
         return hpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), hpath
 
     def runs(self) -> list[str]:
+        """Paths of the whole runs, oldest first; a run that was not finished is not one."""
         fs, root = self._fs(self.path)
         if not fs.exists(root):
             return []
         names = sorted(s.getPath().getName() for s in fs.listStatus(root) if s.getPath().getName().startswith("run-"))
-        return [f"{self.path}/{n}" for n in names if self._fs(f"{self.path}/{n}/_SUCCESS")[0].exists(self._fs(f"{self.path}/{n}/_SUCCESS")[1])]
+        return [f"{self.path}/{n}" for n in names if fs.exists(self._fs(f"{self.path}/{n}/_SUCCESS")[1])]
 
-    def read(self) -> DataFrame:
-        runs = self.runs()
+    def read(self, runs: list[str] | None = None) -> DataFrame:
+        runs = self.runs() if runs is None else runs
         return self.spark.read.schema(self.SCHEMA).parquet(*runs) if runs else self.spark.createDataFrame([], self.SCHEMA)
 
+    def _next(self) -> str:
+        runs = self.runs()
+        return f"{self.path}/run-{int(runs[-1].rpartition('-')[2]) + 1 if runs else 0:06d}"
+
     def append(self, rows: DataFrame) -> str:
         """Write the fingerprints of ``rows`` (id, text) as one run."""
-        runs = self.runs()
-        path = f"{self.path}/run-{int(runs[-1].rpartition('-')[2]) + 1 if runs else 0:06d}"
-        fingerprints(rows).sortWithinPartitions("fp", "id").write.parquet(path, compression="zstd")
+        path = self._next()
+        fingerprints(rows).write.mode("overwrite").parquet(path, compression="zstd")
         return path
 
     def compact(self) -> None:
@@ -141,8 +196,9 @@ class SubstringIndex:
         runs = self.runs()
         if len(runs) < 2:
             return
-        path = f"{self.path}/run-{int(runs[-1].rpartition('-')[2]) + 1:06d}"
-        self.read().repartition("fp").sortWithinPartitions("fp", "id").write.parquet(path, compression="zstd")
+        merged = self.read(runs).withColumn("state", F.lit(ALONE).cast("byte"))
+        merged = merged.repartition("fp", "id").sortWithinPartitions("fp", "id")
+        merged.write.mode("overwrite").parquet(self._next(), compression="zstd")
         for old in runs:
             fs, at = self._fs(old)
             fs.delete(at, True)
@@ -155,64 +211,127 @@ class SubstringIndex:
         ``history`` has the documents that the index already holds; a window counts as seen if it
         starts in a document of a smaller id there or in the batch.
         """
-        new = _rows(batch, id_col, text_col)
-        rows = new.withColumn("new", F.lit(True))
-        if history is not None:
-            rows = rows.unionByName(_rows(history, id_col, text_col).withColumn("new", F.lit(False)))
-        self.append(new)
-        shared = self.shared(rows)
-        flagged = written(self.flagged(rows, shared), "flagged")
-        if len(self.runs()) > MOST_RUNS:
+        if len(self.runs()) >= MOST_RUNS:
             self.compact()
-        return _cut(new, flagged)
-
-    def shared(self, rows: DataFrame) -> DataFrame:
-        """(id, fps): of every document, its fingerprints that another one has too.
-
-        The smallest and largest document of each fingerprint are found with partial sums; only
-        fingerprints of two documents go back to their documents, in a join that large keys split.
-        """
-        held = self.read()
-        many = held.groupBy("fp").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("fp")
-        return held.join(many, "fp").groupBy("id").agg(F.collect_list("fp").alias("fps"))
+        before = self.runs()
+        new = _rows(batch, id_col, text_col)
+        run = self.read([self.append(new)])
+        shared, rows = self.within(run), new
+        if before and history is not None:
+            shared = shared.unionByName(self.across(run, self.read(before)))
+            rows = new.unionByName(_rows(history, id_col, text_col))
+        return _cut(new, self.flagged(rows, shared.groupBy("id").agg(F.collect_list("fp").alias("fps"))))
+
+    def within(self, run: DataFrame) -> DataFrame:
+        """(id, fp): fingerprints that another document of the run has too."""
+        known = run.where(F.col("state") != ALONE).select("id", "fp")
+        sent = run.where(F.col("state") != STOOD_FOR).repartition("fp").sortWithinPartitions("fp", "id")
+        return known.unionByName(sent.mapInArrow(_repeats, "id long, fp long"))
+
+    def across(self, run: DataFrame, held: DataFrame) -> DataFrame:
+        """(id, fp): fingerprints of the run that the index held before, with the documents of either."""
+        one = run.join(held.select("fp").distinct(), "fp", "left_semi")
+        other = held.join(run.select("fp").distinct(), "fp", "left_semi")
+        return one.unionByName(other).select("id", "fp")
 
     def flagged(self, rows: DataFrame, shared: DataFrame) -> DataFrame:
-        """(id, starts): the windows of a document that start in a document of a smaller id."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes = WordHashes()
-            for b in slices(batches, 32):
-                ids, out = b.column("id").to_pylist(), ([], [], [], [])
-                for i, text, fps in zip(ids, raw_texts(b, "text"), b.column("fps"), strict=True):
-                    h = hashes.of(text.split())
-                    wanted = np.sort(fps.values.to_numpy().view(np.uint64))
-                    at = window_fingerprints(h)
-                    if not len(at):
-                        continue
-                    place = np.minimum(np.searchsorted(wanted, at), len(wanted) - 1)
-                    start = np.nonzero(wanted[place] == at)[0]
-                    one, two = (_rolled(h, WINDOW, base)[start] for base in _BASE)
-                    order = np.lexsort((start, two, one))
-                    one, two, start = one[order], two[order], start[order]
-                    # one row per distinct window of a document
-                    first = np.nonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))[0] if len(one) else np.empty(0, np.int64)
-                    out[0].append(one[first].view(np.int64)), out[1].append(two[first].view(np.int64))
-                    out[2].append(np.full(len(first), i, np.int64))
-                    out[3].extend(np.split(start.astype(np.int32), first[1:]) if len(first) else [])
-                if out[0]:
-                    lengths = np.concatenate([[0], np.cumsum([len(x) for x in out[3]], dtype=np.int64)]).astype(np.int32)
-                    flat = np.concatenate(out[3]) if out[3] else np.empty(0, np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [*(pa.array(np.concatenate(x)) for x in out[:3]), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat))],
-                        ["one", "two", "id", "starts"],
-                    )
-
+        """(id, starts array<binary>): the windows of a document that start in a document of a smaller id."""
         windows = rows.join(shared, "id").select("id", "text", "fps").mapInArrow(
-            run, "one long, two long, id long, starts array<int>"
+            _windows, "key long, tag long, id long, starts binary"
         )
-        least = Window.partitionBy("one", "two")
-        later = windows.withColumn("least", F.min("id").over(least)).where("id > least")
-        return later.groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("starts"))).alias("starts"))
+        later = windows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_later, "id long, starts binary")
+        return later.groupBy("id").agg(F.collect_list("starts").alias("starts"))
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows with a shared fingerprint: (key, tag, id) are two hashes, the start and the document.
+
+    Of a window that several documents of a block have, only the smallest document's rows are sent
+    on as such; for the others it is settled, and their starts travel packed.
+    """
+    hashes = WordHashes()
+    held: list[tuple[np.ndarray, ...]] = []
+    count = 0
+    for b in slices(batches, 32):
+        for i, text, fps in zip(b.column("id").to_numpy(), raw_texts(b, "text"), b.column("fps"), strict=True):
+            h = hashes.of(text.split())
+            at = window_fingerprints(h)
+            if not len(at):
+                continue
+            wanted = np.sort(fps.values.to_numpy().view(np.uint64))
+            place = np.minimum(np.searchsorted(wanted, at), len(wanted) - 1)
+            start = np.nonzero(wanted[place] == at)[0]
+            one, two = (_rolled(h, WINDOW, base)[start] for base in _BASE)
+            held.append((one.view(np.int64), two >> np.uint64(32), start, np.full(len(start), i, np.int64)))
+            count += len(start)
+        if count >= BLOCK:
+            yield _settled(held)
+            held, count = [], 0
+    if count:
+        yield _settled(held)
+
+
+def _settled(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    one, two, start, owner = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((owner, two, one))
+    one, two, start, owner = one[order], two[order], start[order], owner[order]
+    first = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+    least = owner[np.maximum.accumulate(np.where(first, np.arange(len(one)), 0))]
+    known = owner > least
+    who, packed = _packed(owner[known], start[known])
+    open_ = ~known
+    n, m = int(open_.sum()), len(who)
+    tag = (two[open_] << np.uint64(32) | start[open_].astype(np.uint64)).view(np.int64)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate([one[open_], who])),  # settled rows are dealt out by their document
+            pa.array(np.concatenate([tag, np.zeros(m, np.int64)])),
+            pa.array(np.concatenate([owner[open_], who])),
+            pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(packed, pa.binary())]),
+        ],
+        ["key", "tag", "id", "starts"],
+    )
+
+
+def _packed(owner: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Each document once, with its starts as 32-bit integers."""
+    order = np.lexsort((start, owner))
+    owner, start = owner[order], start[order].astype("<i4")
+    edge = np.nonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))[0] if len(owner) else np.empty(0, np.int64)
+    return owner[edge], [x.tobytes() for x in np.split(start, edge[1:])] if len(edge) else []
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, starts) of the windows, sorted by (key, id), that a smaller document has as well."""
+    last = None  # key, second hash and document of the first row of the run so far
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    count = 0
+
+    def out():
+        who, packed = _packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(who), pa.array(packed, pa.binary())], ["id", "starts"])
+
+    for b in batches:
+        done = b.filter(b.column("starts").is_valid())
+        if done.num_rows:
+            yield done.select(["id", "starts"])
+        b = b.filter(b.column("starts").is_null())
+        if not b.num_rows:
+            continue
+        key, tag, owner = (b.column(c).to_numpy() for c in ("key", "tag", "id"))
+        two, start = tag.view(np.uint64) >> np.uint64(32), tag & 0xFFFFFFFF
+        if last is not None:
+            key, two, owner, start = (np.concatenate([[x], y]).astype(y.dtype) for x, y in zip((*last, 0), (key, two, owner, start), strict=True))
+        first = np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), np.arange(len(key)), 0))
+        later = (owner > owner[first]) & (two == two[first])
+        held.append((owner[later], start[later]))
+        count += int(later.sum())
+        last = key[first[-1]], two[first[-1]], owner[first[-1]]
+        if count >= BLOCK:
+            yield out()
+            held, count = [], 0
+    if count:
+        yield out()
 
 
 def _cut(rows: DataFrame, flagged: DataFrame) -> DataFrame:
@@ -221,14 +340,14 @@ def _cut(rows: DataFrame, flagged: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 64):
             n, removed, kept = [], [], []
-            for text, starts in zip(raw_texts(b, "text"), b.column("starts"), strict=True):
+            for text, starts in zip(raw_texts(b, "text"), b.column("starts").to_pylist(), strict=True):
                 words = text.split()
                 n.append(len(words))
-                if starts.is_valid and len(starts.values):
+                if starts and len(words) >= WINDOW:
                     flags = np.zeros(len(words) - WINDOW + 1, bool)
-                    flags[starts.values.to_numpy()] = True
-                    stay = np.nonzero(~_spans(flags))[0]
-                    words = [words[i] for i in stay.tolist()]
+                    at = np.frombuffer(b"".join(starts), "<i4")
+                    flags[at[at < len(flags)]] = True
+                    words = list(compress(words, (~_spans(flags)).tolist()))
                 removed.append(n[-1] - len(words))
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays(
