@@ -1,13 +1,72 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: from the table ``documents`` to packed training sequences.
+
+Each stage takes what its predecessor kept and returns the columns of ``documents``, but for the
+last, which returns the packed pieces. Stages do not copy or drop columns that they do not change.
+
+A row without an id cannot be told from another one: the near-duplicate stage lets it through.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rowquarry.llm import decontaminate, packing, quality, secrets, simhash
+from rowquarry.llm.common import documents, shared_path, written
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the positive-unlabelled classifier does not reject."""
+    return quality.kept(docs, quality.train(docs, documents(spark, sf_dir, "labels")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near duplicates."""
+    found = simhash.near_duplicates(docs)
+    least = found.where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
+    known = docs.join(least, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return known.unionByName(docs.where("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return decontaminate.clean(docs, documents(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with their secrets replaced; a changed text has its length counted again."""
+    ledger = secrets.BlobLedger(spark, shared_path(spark, "ledger"))
+    ledger.update(docs)
+    found = secrets.redacted(docs.withColumn("__before", F.octet_length("text")), ledger)
+    changed = F.octet_length("text") != F.col("__before")
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        found = found.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return found.select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, each with its sequence and place."""
+    import public_tokenizers
+
+    found = packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("simhash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secret_scan),
+    ("best-fit packing", pack),
+]
+#: Training, k-th differing bits and tokenizers have no SQL form; the tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table ``documents``, each written to the shared folder before the next."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    return STAGES[-1][1](spark, docs, sf_dir)
