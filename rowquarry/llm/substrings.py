@@ -216,11 +216,16 @@ class SubstringIndex:
         before = self.runs()
         new = _rows(batch, id_col, text_col)
         run = self.read([self.append(new)])
-        shared, rows = self.within(run), new
+        shared = self.within(run)
+        rows = named = _squeezed(new)
         if before and history is not None:
             shared = shared.unionByName(self.across(run, self.read(before)))
-            rows = new.unionByName(_rows(history, id_col, text_col))
-        return _cut(new, self.flagged(rows, shared.groupBy("id").agg(F.collect_list("fp").alias("fps"))))
+            rows = named.unionByName(_squeezed(_rows(history, id_col, text_col)))
+        flagged = self.flagged(rows, shared.groupBy("id").agg(F.collect_list("fp").alias("fps")))
+        # both joins deal the squeezed texts out by id: without a history Spark shuffles them once
+        whole = named.join(flagged, "id", "left").select("id", "z", "starts")
+        unnamed = new.where("id is null").mapInArrow(_squeeze, "id long, z binary").withColumn("starts", F.lit(None).cast("array<binary>"))
+        return whole.unionByName(unnamed).mapInArrow(_cut, "id long, n_words long, n_removed long, kept string")
 
     def within(self, run: DataFrame) -> DataFrame:
         """(id, fp): fingerprints that another document of the run has too."""
@@ -236,7 +241,7 @@ class SubstringIndex:
 
     def flagged(self, rows: DataFrame, shared: DataFrame) -> DataFrame:
         """(id, starts array<binary>): the windows of a document that start in a document of a smaller id."""
-        windows = rows.join(shared, "id").select("id", "text", "fps").mapInArrow(
+        windows = rows.join(shared, "id").select("id", "z", "fps").mapInArrow(
             _windows, "key long, tag long, id long, starts binary"
         )
         later = windows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_later, "id long, starts binary")
@@ -253,7 +258,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, ...]] = []
     count = 0
     for b in slices(batches, 32):
-        for i, text, fps in zip(b.column("id").to_numpy(), raw_texts(b, "text"), b.column("fps"), strict=True):
+        for i, text, fps in zip(b.column("id").to_numpy(), _texts(b), b.column("fps"), strict=True):
             h = hashes.of(text.split())
             at = window_fingerprints(h)
             if not len(at):
@@ -262,7 +267,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place = np.minimum(np.searchsorted(wanted, at), len(wanted) - 1)
             start = np.nonzero(wanted[place] == at)[0]
             one, two = (_rolled(h, WINDOW, base)[start] for base in _BASE)
-            held.append((one.view(np.int64), two >> np.uint64(32), start, np.full(len(start), i, np.int64)))
+            held.append((one.view(np.int64), two >> np.uint64(48), start, np.full(len(start), i, np.int64)))
             count += len(start)
         if count >= BLOCK:
             yield _settled(held)
@@ -281,7 +286,7 @@ def _settled(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     who, packed = _packed(owner[known], start[known])
     open_ = ~known
     n, m = int(open_.sum()), len(who)
-    tag = (two[open_] << np.uint64(32) | start[open_].astype(np.uint64)).view(np.int64)
+    tag = (two[open_] << np.uint64(48) | start[open_].astype(np.uint64)).view(np.int64)
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.concatenate([one[open_], who])),  # settled rows are dealt out by their document
@@ -319,7 +324,7 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not b.num_rows:
             continue
         key, tag, owner = (b.column(c).to_numpy() for c in ("key", "tag", "id"))
-        two, start = tag.view(np.uint64) >> np.uint64(32), tag & 0xFFFFFFFF
+        two, start = tag.view(np.uint64) >> np.uint64(48), tag & 0xFFFFFFFF
         if last is not None:
             key, two, owner, start = (np.concatenate([[x], y]).astype(y.dtype) for x, y in zip((*last, 0), (key, two, owner, start), strict=True))
         first = np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), np.arange(len(key)), 0))
@@ -334,28 +339,42 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _cut(rows: DataFrame, flagged: DataFrame) -> DataFrame:
-    """(id, n_words, n_removed, kept) with the words of the flagged windows removed."""
+def _squeezed(rows: DataFrame) -> DataFrame:
+    """(id, z): the texts of rows with an id, each compressed by itself, as they are shuffled."""
+    squeezed = rows.where("id is not null").mapInArrow(_squeeze, "id long, z binary")
+    return squeezed.where("id is not null")  # said again, as an inner join says it: equal plans are shuffled once
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 64):
-            n, removed, kept = [], [], []
-            for text, starts in zip(raw_texts(b, "text"), b.column("starts").to_pylist(), strict=True):
-                words = text.split()
-                n.append(len(words))
-                if starts and len(words) >= WINDOW:
-                    flags = np.zeros(len(words) - WINDOW + 1, bool)
-                    at = np.frombuffer(b"".join(starts), "<i4")
-                    flags[at[at < len(flags)]] = True
-                    words = list(compress(words, (~_spans(flags)).tolist()))
-                removed.append(n[-1] - len(words))
-                kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-                ["id", "n_words", "n_removed", "kept"],
-            )
-
-    return rows.join(flagged, "id", "left").mapInArrow(run, "id long, n_words long, n_removed long, kept string")
+
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codec = pa.Codec("zstd", compression_level=1)
+    for b in slices(batches, 64):
+        z = [len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in raw_texts(b, "text")]
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(z, pa.binary())], ["id", "z"])
+
+
+def _texts(b: pa.RecordBatch) -> list[bytes]:
+    codec = pa.Codec("zstd")
+    return [codec.decompress(z[8:], int.from_bytes(z[:8], "little"), asbytes=True) for z in b.column("z").to_pylist()]
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, n_words, n_removed, kept) with the words of the flagged windows removed."""
+    for b in slices(batches, 64):
+        n, removed, kept = [], [], []
+        for text, starts in zip(_texts(b), b.column("starts").to_pylist(), strict=True):
+            words = text.split()
+            n.append(len(words))
+            if starts and len(words) >= WINDOW:
+                flags = np.zeros(len(words) - WINDOW + 1, bool)
+                at = np.frombuffer(b"".join(starts), "<i4")
+                flags[at[at < len(flags)]] = True
+                words = list(compress(words, (~_spans(flags)).tolist()))
+            removed.append(n[-1] - len(words))
+            kept.append(b" ".join(words))
+        yield pa.RecordBatch.from_arrays(
+            [b.column("id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
+            ["id", "n_words", "n_removed", "kept"],
+        )
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
