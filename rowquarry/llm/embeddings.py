@@ -6,8 +6,8 @@ visits each cell for which that holds, so that every pair meets in the home cell
 and a vector's links are all counted in its own home cell: nothing is missed at cell borders.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and
-vectors without a label, link with nothing and form their own group; vectors of another length do
-not link. Identical vectors of a label are compared once, with their number as weight. An empty
+vectors without a label, link with nothing and form their own group; a row without an id links
+with nothing and has no group (null); vectors of another length do not link. Identical vectors of a label are compared once, with their number as weight. An empty
 table gives no rows; further columns are ignored, whatever their names.
 """
 
@@ -180,7 +180,7 @@ def near_duplicates(
         F.col(label_col).alias("label"),
     )
     usable = (
-        F.col("label").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(
+        F.col("id").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(
             v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
         ) & F.exists(v, lambda c: c != 0)
     )

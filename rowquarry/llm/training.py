@@ -31,9 +31,9 @@ def _first(rows: DataFrame, most: int, name: str) -> DataFrame:
 
 
 def with_texts(docs: DataFrame, *chosen: DataFrame) -> DataFrame:
-    """(id, role, text) of the chosen ids; their number is bounded, so they are broadcast."""
+    """(id, role, text) of the chosen ids, once each; their number is bounded, so they are broadcast."""
     ids = chosen[0]
     for more in chosen[1:]:
         ids = ids.union(more)
     rows = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.join(F.broadcast(ids), "id")
+    return rows.join(F.broadcast(ids), "id").groupBy("id", "role").agg(F.min("text").alias("text"))
