@@ -204,9 +204,11 @@ class Searcher:
             cosine_times = pair @ self.unit  # cosine times the window's length
             near = (cosine_times >= NEAR * self.norm[None, :]) | (cosine_times >= NEAR * length[:, None])
             near &= length[:, None] > 1e-6
-            for r, p in zip(*np.nonzero(near), strict=True):
-                doc = int(np.searchsorted(first, at + r, "right")) - 1
-                _check(self.items, cut[doc], (int(at + r) - int(first[doc])) * STRIDE, int(p), doc, hits)
+            row, passage = np.nonzero(near)
+            doc = np.searchsorted(first, at + row, "right") - 1
+            place = (at + row - first[doc]) * STRIDE
+            for k, i, p in zip(doc.tolist(), place.tolist(), passage.tolist(), strict=True):
+                _check(self.items, cut[k], i, p, k, hits)
         return [(doc, i, lcs, a) for (doc, i), (lcs, a) in sorted(hits.items()) if lcs >= SAME or a]
 
 
@@ -292,6 +294,9 @@ def _check(items: Items, doc: list[bytes], at: int, passage: int, row: int, hits
     item = items.items[k]
     lo = max(0, at - offset - PASSAGE)
     region = doc[lo : at + WINDOW - offset + len(item) + PASSAGE]
+    # words of the item that stand there at all: a common subsequence has no more
+    if sum(map(set(region).__contains__, item)) < PARAPHRASE * len(item):
+        return
     lcs = common(item, region) / len(item)
     answer = items.answers[k]
     told = PARAPHRASE <= lcs < SAME and len(answer) >= LEAST_ANSWER and common(answer, region) >= 0.9 * len(answer)
