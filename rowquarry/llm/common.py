@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Texts handed to Python code at once; keeps a worker's memory flat whatever Spark's batch size is.
 SLICE_ROWS = 256
+#: Bytes of a batch that Spark sends to Python code: very long texts do not pile up in a worker.
+BATCH_BYTES = 8 << 20
 #: Summaries that one merging task receives.
 FAN_IN = 64
 
@@ -49,6 +51,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """An input table; batches of its rows for Python code stay within ``BATCH_BYTES``."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
