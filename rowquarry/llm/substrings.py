@@ -223,8 +223,9 @@ class SubstringIndex:
             rows = named.unionByName(_squeezed(_rows(history, id_col, text_col)))
         flagged = self.flagged(rows, shared.groupBy("id").agg(F.collect_list("fp").alias("fps")))
         # both joins deal the squeezed texts out by id: without a history Spark shuffles them once
-        whole = named.join(flagged, "id", "left").select("id", "z", "starts")
-        unnamed = new.where("id is null").mapInArrow(_squeeze, "id long, z binary").withColumn("starts", F.lit(None).cast("array<binary>"))
+        whole = named.join(flagged, "id", "left").select("id", "z", "start", "starts")
+        unnamed = new.where("id is null").mapInArrow(_squeeze, "id long, z binary")
+        unnamed = unnamed.select("*", F.lit(None).cast("array<int>").alias("start"), F.lit(None).cast("array<binary>").alias("starts"))
         return whole.unionByName(unnamed).mapInArrow(_cut, "id long, n_words long, n_removed long, kept string")
 
     def within(self, run: DataFrame) -> DataFrame:
@@ -240,12 +241,17 @@ class SubstringIndex:
         return one.unionByName(other).select("id", "fp")
 
     def flagged(self, rows: DataFrame, shared: DataFrame) -> DataFrame:
-        """(id, starts array<binary>): the windows of a document that start in a document of a smaller id."""
+        """(id, start array<int>, starts array<binary>): windows that start in a document of a smaller id.
+
+        Those settled within a block come packed, the others one by one: their number follows the
+        text, however many tasks compare them.
+        """
         windows = rows.join(shared, "id").select("id", "z", "fps").mapInArrow(
             _windows, "key long, tag long, id long, starts binary"
         )
-        later = windows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_later, "id long, starts binary")
-        return later.groupBy("id").agg(F.collect_list("starts").alias("starts"))
+        later = windows.repartition("key").sortWithinPartitions("key", "id")
+        later = later.mapInArrow(_later, "id long, start int, starts binary")
+        return later.groupBy("id").agg(F.collect_list("start").alias("start"), F.collect_list("starts").alias("starts"))
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,36 +313,29 @@ def _packed(owner: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, list[byte
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, starts) of the windows, sorted by (key, id), that a smaller document has as well."""
+    """Of windows sorted by (key, id): those that a smaller document has as well, and the settled ones."""
     last = None  # key, second hash and document of the first row of the run so far
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    count = 0
-
-    def out():
-        who, packed = _packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        return pa.RecordBatch.from_arrays([pa.array(who), pa.array(packed, pa.binary())], ["id", "starts"])
-
     for b in batches:
         done = b.filter(b.column("starts").is_valid())
-        if done.num_rows:
-            yield done.select(["id", "starts"])
         b = b.filter(b.column("starts").is_null())
-        if not b.num_rows:
-            continue
         key, tag, owner = (b.column(c).to_numpy() for c in ("key", "tag", "id"))
         two, start = tag.view(np.uint64) >> np.uint64(48), tag & 0xFFFFFFFF
         if last is not None:
             key, two, owner, start = (np.concatenate([[x], y]).astype(y.dtype) for x, y in zip((*last, 0), (key, two, owner, start), strict=True))
-        first = np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), np.arange(len(key)), 0))
-        later = (owner > owner[first]) & (two == two[first])
-        held.append((owner[later], start[later]))
-        count += int(later.sum())
-        last = key[first[-1]], two[first[-1]], owner[first[-1]]
-        if count >= BLOCK:
-            yield out()
-            held, count = [], 0
-    if count:
-        yield out()
+        if len(key):
+            first = np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), np.arange(len(key)), 0))
+            later = (owner > owner[first]) & (two == two[first])
+            last = key[first[-1]], two[first[-1]], owner[first[-1]]
+            owner, start = owner[later], start[later]
+        n, m = len(owner), done.num_rows
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.concat_arrays([pa.array(owner, pa.int64()), done.column("id")]),
+                pa.concat_arrays([pa.array(start.astype(np.int32)), pa.nulls(m, pa.int32())]),
+                pa.concat_arrays([pa.nulls(n, pa.binary()), done.column("starts")]),
+            ],
+            ["id", "start", "starts"],
+        )
 
 
 def _squeezed(rows: DataFrame) -> DataFrame:
@@ -361,13 +360,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, n_words, n_removed, kept) with the words of the flagged windows removed."""
     for b in slices(batches, 64):
         n, removed, kept = [], [], []
-        for text, starts in zip(_texts(b), b.column("starts").to_pylist(), strict=True):
+        for text, start, starts in zip(_texts(b), b.column("start"), b.column("starts").to_pylist(), strict=True):
             words = text.split()
             n.append(len(words))
-            if starts and len(words) >= WINDOW:
+            if starts is not None and len(words) >= WINDOW:
                 flags = np.zeros(len(words) - WINDOW + 1, bool)
-                at = np.frombuffer(b"".join(starts), "<i4")
-                flags[at[at < len(flags)]] = True
+                for at in (start.values.to_numpy(), np.frombuffer(b"".join(starts), "<i4")):
+                    flags[at[at < len(flags)]] = True
                 words = list(compress(words, (~_spans(flags)).tolist()))
             removed.append(n[-1] - len(words))
             kept.append(b" ".join(words))
