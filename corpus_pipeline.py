@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowquarry.llm import decontaminate, packing, quality, secrets, simhash
+from rowquarry.llm import decontaminate, jaccard, packing, quality, secrets, simhash
 from rowquarry.llm.common import documents, shared_path, written
+from rowquarry.llm.graph import components
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +22,17 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates."""
-    found = simhash.near_duplicates(docs)
-    least = found.where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
+    """The document of the smallest id of each group of near duplicates.
+
+    Two texts are near duplicates if their SimHash fingerprints are (at most four bits apart), or if
+    their sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+    """
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
+    close = simhash.near_duplicates(rows, id_col="node").select(F.col("id").alias("a"), F.col("component_id").alias("b"))
+    found = components(close.union(jaccard.similar(rows.select("node", "text"))))
+    ids = rows.where("doc_id is not null").select("doc_id", "node").distinct()
+    grouped = ids.join(found, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    least = grouped.groupBy("group").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     known = docs.join(least, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
     return known.unionByName(docs.where("doc_id is null"))
 

@@ -1,5 +1,6 @@
 """The pipeline's stages, each against a plain computation on its own input."""
 
+import random
 import re
 
 import pytest
@@ -87,3 +88,23 @@ def test_stages_on_odd_rows(spark, sf):
     empty = docs.where("false")
     for stage in stages.values():
         assert stage(spark, empty, sf).isEmpty()
+
+
+def test_near_copies_of_similarity_from_0_8(spark, sf):
+    rng = random.Random(7)
+    shingles = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    rows, want = [], set()
+    for k in range(60):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(60, 300))]
+        other = list(base)
+        for at in rng.sample(range(len(base)), max(1, len(base) // rng.choice([25, 40, 60]))):
+            other[at] = f"w{rng.randrange(10**6)}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        want |= {2 * k} if len(a & b) >= 0.8 * len(a | b) else {2 * k, 2 * k + 1}
+    assert 70 < len(want) < 110
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf)
+    near = {r.doc_id for r in got.collect()}
+    assert near <= want
+    bits = {i: fingerprint(t.encode()) for i, t in rows}
+    assert want - near <= {i for i in want if i % 2 and (bits[i] ^ bits[i - 1]).bit_count() <= 4}
