@@ -4,7 +4,9 @@ The benchmark's items are cut into short passages. Document frequencies over all
 corpus weight their words (TF-IDF); a distributed randomised SVD of the passages gives the latent
 space. Every window of every whole document is projected into it and compared by cosine with all
 passages; each candidate is checked word by word: the longest common subsequence with the whole
-item around the window, and for paraphrases the presence of the item's answer.
+item around the window, and for paraphrases the presence of the item's answer. A long answer has to
+stand there nearly whole, a short one as a phrase at or beside the place. Where no answer is given,
+a long last sentence or the item's rarer half of words tell a paraphrase.
 
 The SVD is of the benchmark's passages, not of the corpus: the words that tell a leak are rare in
 the corpus and do not survive a truncated SVD of it.
@@ -39,7 +41,7 @@ POWER_ROUNDS = 2
 NEAR = 0.55
 #: Share of the item's words in a common subsequence: enough alone, and enough with the answer.
 SAME, PARAPHRASE = 0.8, 0.65
-#: Words of an answer that is worth a check.
+#: Words of an answer that is compared by subsequence; a shorter one has to stand there as a phrase.
 LEAST_ANSWER = 5
 #: Words of a document that are projected at once.
 BLOCK_WORDS = 1 << 15
@@ -71,7 +73,8 @@ class Items:
     """The benchmark: items, their passages and the vocabulary, bounded by the benchmark's size."""
 
     def __init__(self, rows: list[tuple]):
-        self.ids, self.items, self.answers = [], [], []
+        self.ids, self.items, self.answers, self.given = [], [], [], []
+        self.rare: list[list[bytes]] = []  # of each item, from the time the weights are known
         self.vocabulary: dict[bytes, int] = {}
         self.passages: list[tuple[int, int, list[int]]] = []  # item, first word, word ids
         for item_id, text, answer in rows:
@@ -80,12 +83,29 @@ class Items:
                 continue
             k = len(self.items)
             self.ids.append(item_id), self.items.append(item)
-            self.answers.append(words(answer) if answer else words(_last_sentence(text)))
+            told = words(answer) if answer else []
+            self.given.append(bool(told))
+            self.answers.append(told or words(_last_sentence(text)))
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in item]
             n = max(1, round(len(ids) / PASSAGE))
             edge = [i * len(ids) // n for i in range(n + 1)]
             self.passages += [(k, lo, ids[lo:hi]) for lo, hi in zip(edge[:-1], edge[1:], strict=True)]
 
+    def weigh(self, idf: np.ndarray) -> None:
+        """Find each item's rarer half of words, in order."""
+        for item in self.items:
+            weight = idf[[self.vocabulary[w] for w in item]]
+            self.rare.append([w for w, x in zip(item, weight >= np.median(weight), strict=True) if x])
+
+    def told(self, k: int, region: list[bytes], around: list[bytes]) -> bool:
+        """Whether a place that shares ``PARAPHRASE`` of item ``k`` is a paraphrase of it."""
+        answer = self.answers[k]
+        if len(answer) >= LEAST_ANSWER and common(answer, region) >= 0.9 * len(answer):
+            return True
+        if self.given[k]:
+            return len(answer) < LEAST_ANSWER and _phrase(answer, around)
+        return common(self.rare[k], region) >= PARAPHRASE * len(self.rare[k])
+
     def vectors(self, idf: np.ndarray, which: slice = slice(None)) -> np.ndarray:
         x = np.zeros((len(self.passages[which]), len(self.vocabulary)), np.float32)
         for row, (_, _, ids) in enumerate(self.passages[which]):
@@ -93,6 +113,10 @@ class Items:
         return x
 
 
+def _phrase(short: list[bytes], long: list[bytes]) -> bool:
+    return b" " + b" ".join(short) + b" " in b" " + b" ".join(long) + b" "
+
+
 def _last_sentence(text: str) -> str:
     parts = [p for p in text.replace("\n", " ").split(". ") if p.strip()]
     return parts[-1] if len(parts) > 1 else ""
@@ -185,6 +209,7 @@ class Searcher:
 
     def __init__(self, items: Items, idf: np.ndarray, space: np.ndarray):
         self.items = items
+        items.weigh(idf)
         self.word_vectors = np.concatenate([idf[:, None] * space, np.zeros((1, space.shape[1]), np.float32)])
         latent = items.vectors(idf) @ space
         self.norm = np.linalg.norm(latent, axis=1)
@@ -229,7 +254,7 @@ def contaminated(
     """(id, item_id, lcs, answer): every document and benchmark item that it holds.
 
     ``lcs`` is the share of the item's words found in order, ``answer`` whether its answer (the
-    column ``answer_col``, else its last sentence) was needed and found.
+    column ``answer_col``, else its last sentence or its rarer words) was needed and found.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     item_type = benchmark.schema["item_id"].dataType.simpleString()
@@ -298,9 +323,9 @@ def _check(items: Items, doc: list[bytes], at: int, passage: int, row: int, hits
     if sum(map(set(region).__contains__, item)) < PARAPHRASE * len(item):
         return
     lcs = common(item, region) / len(item)
-    answer = items.answers[k]
-    told = PARAPHRASE <= lcs < SAME and len(answer) >= LEAST_ANSWER and common(answer, region) >= 0.9 * len(answer)
-    hits[(row, k)] = max(hits.get((row, k), (0.0, False)), (lcs, bool(told)))
+    around = doc[max(0, lo - PASSAGE) : at + WINDOW - offset + len(item) + 2 * PASSAGE]
+    told = PARAPHRASE <= lcs < SAME and items.told(k, region, around)
+    hits[(row, k)] = max(hits.get((row, k), (0.0, False)), (lcs, told))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,3 +91,42 @@ def test_edges(spark, case):
     assert sorted(r.doc_id for r in clean(d, b).collect()) == [1, 2, 5]
     for x, y in ((d.where("false"), b), (d, b.where("false")), (d.where("false"), b.where("false"))):
         assert contaminated(x, y).isEmpty() and clean(x, y).count() == x.count()
+
+
+def changed(r, text, share, strange):
+    """The words of ``text`` with a share of them replaced, evenly spread."""
+    out, n = text.split(), round(len(text.split()) * share)
+    for j in range(n):
+        out[int((j + r.random()) * len(out) / n)] = r.choice(strange)
+    return out
+
+
+@pytest.mark.parametrize("share, least", [(0.2, 0.95), (0.25, 0.9), (0.3, 0.75)])
+def test_paraphrases_of_items_without_an_answer(spark, case, share, least):
+    docs, items, _ = case
+    r, strange, clean_docs = random.Random(8), lexicon(9, 500), [t for i, t in docs if i % 10]
+    made = []
+    for k, text in items:
+        other = r.choice(clean_docs).split()
+        at = r.randrange(len(other))
+        made.append((k, " ".join(other[:at] + changed(r, text, share, strange) + other[at:])))
+    d, b = frames(spark, made + [(1000 + i, t) for i, t in enumerate(clean_docs)], items)
+    got = {(x.id, x.item_id) for x in contaminated(d, b).collect()}
+    assert got <= {(k, k) for k, _ in items} and len(got) >= least * len(items)
+
+
+def test_paraphrases_with_a_short_answer(spark, case):
+    _, items, _ = case
+    r, strange = random.Random(8), lexicon(9, 500)
+    made, told = [], []
+    for k, text in items:
+        words_ = changed(r, text, 0.25, strange)
+        filler = [r.choice(strange) for _ in range(200)]
+        made += [(2 * k, " ".join(filler + words_ + ["the", "answer:", "Paris", f"no{k}."] + filler))]
+        made += [(2 * k + 1, " ".join(["Paris", f"no{k}."] + filler + words_ + filler))]  # far away
+        told.append((k, text, f"Paris no{k}"))
+    d = spark.createDataFrame(made, "doc_id long, text string")
+    b = spark.createDataFrame(told, "item_id long, text string, answer string")
+    got = {(x.id, x.item_id) for x in contaminated(d, b, answer_col="answer").collect()}
+    weak = {i for i, t in made if common(words(items[i // 2][1]), words(t)) >= 0.8 * len(words(items[i // 2][1]))}
+    assert {i for i, _ in got if i % 2} <= weak and len({i for i, _ in got if i % 2 == 0}) >= 0.9 * len(items)
