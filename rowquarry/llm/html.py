@@ -3,8 +3,10 @@
 Every node of the page gets its link-adjusted characters per tag; a node's density sum is the sum
 over its children. The body's node of the largest sum is the content, and the smallest density on
 the path from the body to it is the threshold below which its parts are left out. Elements that
-never hold article text (navigation, scripts, forms and the like) are cut before, and parts marked
-as advertising, notices or comments by their class, id or role as well.
+never hold article text (navigation, scripts, forms and the like) are cut before, and parts that a
+role marks as such. The words of a class or id (advertising, notices, comments) are only evidence:
+such a part is cut unless it is a heading, holds the article or main element or most of the page's
+text, or is a section that is named after its own heading.
 
 Defined results: a null, empty or text-free page gives an empty text; unclosed and stray tags are
 tolerated; repeated rows each keep their result; an empty table gives no rows; other columns are
@@ -35,7 +37,7 @@ CUT = RAW | {"head", "nav", "footer", "aside", "form", "menu", "button", "select
              "canvas", "object", "audio", "video", "dialog", "fieldset", "datalist", "map"}
 CUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog",
              "alert", "alertdialog", "toolbar"}
-#: Words of a class or id that mark what is not the article.
+#: Words of a class or id that speak against a part.
 CUT_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|adslot|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|popup|"
     r"modal|overlay|newsletter|subscribe|subscription|paywall|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side|"
@@ -43,7 +45,12 @@ CUT_WORDS = re.compile(
     r"share|sharing|social|login|signup|search|skip|hidden|pagination|pager|tags)(?=$|[\s_-])",
     re.I,
 )
+#: Of those, what also names sections under a heading that are not the article.
+NOT_SECTIONS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|respond|reply|replies)(?=$|[\s_-])", re.I)
 ARTICLE = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: A marked part is a wrapper of the page with this share of its text, and so many times the unmarked text outside.
+SHARE, TIMES = 0.5, 4
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dir", "div", "dl",
           "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header",
           "hgroup", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td",
@@ -55,13 +62,17 @@ SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
             "option": ({"option"}, {"select"})}
 
 
+#: Elements whose end tag may be missing.
+ENDS_BY_ITSELF = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
+
+
 class Node:
-    __slots__ = ("tag", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "cut")
+    __slots__ = ("tag", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "marked", "name")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
         self.parts: list[str | Node] = []  # text and children, in order
-        self.cut = False
+        self.marked, self.name = False, ""  # by class or id; the id
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -73,11 +84,35 @@ def _cut(tag: str, attributes: str, inside_article: bool) -> bool:
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or (name == "role" and value.lower() in CUT_ROLES):
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and CUT_WORDS.search(value):
-            return True
     return False
 
 
+def _mark(node: Node, attributes: str) -> None:
+    """Note whether the class or id speaks against an element."""
+    if node.tag in ("html", "body", "article", "main") or node.tag in HEADINGS:
+        return
+    for m in MARK.finditer(attributes) if attributes else ():
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "id":
+            node.name = value
+        if name in ("class", "id") and CUT_WORDS.search(value):
+            node.marked = True
+
+
+def _close(skip: list[str], tag: str) -> None:
+    """Close what an opening tag ends of the elements that are skipped."""
+    if tag not in CLOSES_P and tag not in SIBLINGS:
+        return
+    closes, within = SIBLINGS.get(tag, ({"p"}, set()))
+    for k in range(len(skip) - 1, -1, -1):
+        if skip[k] in within:
+            return
+        if skip[k] in closes or (skip[k] == "p" and tag in CLOSES_P):
+            del skip[k:]
+        elif skip[k] not in ENDS_BY_ITSELF and tag not in SIBLINGS:
+            return
+
+
 def parse(page: str) -> tuple[Node, list[Node]]:
     """The root and all nodes in document order; what is cut is not in the tree."""
     root = Node("#root", None)
@@ -111,9 +146,14 @@ def parse(page: str) -> tuple[Node, list[Node]]:
                 if tag in skip:
                     while skip.pop() != tag:
                         pass
-                elif tag in ("body", "html"):
+                    continue
+                if tag in ("body", "html"):
                     skip.clear()
-            elif any(n.tag == tag for n in reversed(open_)):
+                    continue
+                if not all(map(ENDS_BY_ITSELF.__contains__, skip)) or all(n.tag != tag for n in open_):
+                    continue
+                skip.clear()  # the end of what holds a cut element that was never closed
+            if any(n.tag == tag for n in reversed(open_)):
                 while len(open_) > 1:
                     n = open_.pop()
                     articles -= n.tag in ARTICLE
@@ -125,6 +165,8 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             if skip[0] in ("head",) and tag in ("body", "article", "main", "div", "p"):
                 skip.clear()  # a head that was never closed
             else:
+                _close(skip, tag)
+            if skip:
                 if tag in RAW and tag != "noscript":
                     raw = tag
                     skip.append(tag)
@@ -151,6 +193,7 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             open_[-1].parts.append("\n")
             continue
         node = Node(tag, open_[-1])
+        _mark(node, attributes)
         open_[-1].parts.append(node)
         nodes.append(node)
         if not void and not attributes.endswith("/"):
@@ -158,6 +201,65 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             articles += tag in ARTICLE
 
 
+def _below(node: Node) -> list[Node]:
+    """The node and all below it, in document order."""
+    found, stack = [], [node]
+    while stack:
+        n = stack.pop()
+        found.append(n)
+        stack += [p for p in reversed(n.parts) if not isinstance(p, str)]
+    return found
+
+
+def _slug(text: str) -> str:
+    return "-".join(re.findall(r"\w+", entities.unescape(text).lower()))
+
+
+def _named_by_heading(node: Node) -> bool:
+    """Whether a part's id is that of its own first heading."""
+    if not node.name or NOT_SECTIONS.search(node.name):
+        return False
+    heading = next((n for n in _below(node) if n.tag in HEADINGS), None)
+    if heading is None:
+        return False
+    text = "".join(p for n in _below(heading) for p in n.parts if isinstance(p, str))
+    return _slug(text).strip("-") == _slug(node.name)
+
+
+def _prune(root: Node, nodes: list[Node]) -> list[Node]:
+    """Take out the marked parts that are not the article; the nodes left."""
+    if not any(n.marked for n in nodes):
+        return nodes
+    plain, holds, clean = {}, set(), {}  # text outside links; article inside; text outside marked parts as well
+    for n in reversed(nodes):
+        own = sum(sum(map(len, p.split())) for p in n.parts if isinstance(p, str))
+        below = [p for p in n.parts if not isinstance(p, str)]
+        link = n.tag == "a"
+        plain[n] = 0 if link else own + sum(plain[p] for p in below)
+        clean[n] = 0 if link else own + sum(clean[p] for p in below if not p.marked)
+        if n.tag in ARTICLE or any(p in holds for p in below):
+            holds.add(n)
+    stack: list[tuple[Node, int, int]] = [(root, plain[root], clean[root])]
+    while stack:
+        n, whole, outside = stack.pop()
+        kept: list[str | Node] = []
+        for p in n.parts:
+            if isinstance(p, str) or not p.marked:
+                kept.append(p)
+                if not isinstance(p, str):
+                    stack.append((p, whole, outside))
+            elif p in holds or (plain[p] >= SHARE * whole and plain[p] >= TIMES * outside and plain[p]):
+                kept.append(p)
+                stack.append((p, plain[p], clean[p]))
+            elif _named_by_heading(p):
+                kept.append(p)
+                stack.append((p, whole, outside))
+            else:
+                kept.append("\n")
+        n.parts = kept
+    return _below(root)
+
+
 def _measure(nodes: list[Node], body: Node) -> None:
     for n in reversed(nodes):
         for p in n.parts:
@@ -186,6 +288,7 @@ def extract(page: str) -> str:
     if not page or page.isspace():
         return ""
     root, nodes = parse(page)
+    nodes = _prune(root, nodes)
     body = next((n for n in nodes if n.tag == "body"), root)
     if body is not root and any((p.strip() if isinstance(p, str) else p.tag not in ("html", "body")) for p in root.parts):
         body = root  # text outside the body

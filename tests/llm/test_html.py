@@ -61,3 +61,20 @@ def test_table_repeats_clashing_columns_and_missing_ids(spark, sf):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("__html", F.lit(1))
     assert [r.text for r in main_text(df).collect()] == [WANT] * 3
     assert main_text(df.limit(0)).isEmpty()
+
+
+@pytest.mark.parametrize("html, want", [
+    (page(f"<div class='content with-sidebar'>{BODY}</div><div class='sidebar'><p>Read more of it here</p></div>"), WANT),
+    (page(f"<div id='page' class='menu-open'><div class='menu'>{LINKS}</div><div class='text'>{BODY}</div></div>"), WANT),
+    (page(f"<div class='has-menu'><article>{BODY}</article></div><div class='sidebar'><p>{P[0]}</p></div>"), WANT),
+    (page(f"<div>{BODY}<h3 id='search'>Search</h3>{BODY}</div>"), f"{WANT}\n\nSearch\n\n{WANT}"),
+    (page(f"<div>{BODY}<section id='related-work'><h2>Related work</h2><p>{P[0]}</p></section></div>"), f"{WANT}\n\nRelated work\n\n{P[0]}"),
+    (page(f"<div>{BODY}<section id='discussion'><h2>Discussion</h2><p>{P[2]}</p></section></div>"), f"{WANT}\n\nDiscussion\n\n{P[2]}"),
+    (page(f"<div><p class='notice'>We use cookies{BODY}</div>"), WANT),
+    (page(f"<div><ul><li class='share'>Tell a friend</ul>{BODY}</div>"), WANT),
+    (page(f"<div><p role='alert'>Look here{BODY}</div>"), WANT),
+    (page(f"<div><ul><li hidden>Tell a friend</ul>{BODY}</div>"), WANT),
+    (page(f"<div>{BODY}<section id='comments'><h2>Comments</h2><p>First! {P[0]}</p></section></div>"), WANT),
+])
+def test_words_of_a_class_or_id_are_only_evidence(html, want):
+    assert extract(html) == want
