@@ -1,8 +1,10 @@
 """Best-fit packing of tokenized documents by exact-complement hashing (operator 8).
 
 Only a histogram of piece lengths (one count per length up to the capacity) reaches the driver.
-There, gaps are filled exactly by single lengths, pairs and triples found by their sum under the
-counts still available; what is left is packed best fit, longest first. The plan lists patterns of
+There, gaps are filled exactly by single lengths, pairs and triples looked up by their sum, under the
+counts still available. The index is addressed by the sum itself (sums are whole numbers up to the
+capacity): single lengths are its own entries, pairs the entries of ``PairSums``, and a triple a
+single length with the pair of the remaining sum. What is left is packed best fit, longest first. The plan lists patterns of
 lengths with their number; each piece finds its place by its length and its rank within the length.
 
 Defined results: a null or empty text is the end id alone, one piece of length 1; repeated rows are
@@ -29,12 +31,27 @@ CAPACITY = 2048
 END_ID = 0
 #: Entries of a worker's cache of word ids before it is emptied.
 CACHE = 600_000
+#: Characters of texts that are encoded at once; a longer text is cut at white space.
+SPAN = 1 << 20
 #: The white space that str.split takes and the tokenizer doesn't.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
+SEAM = re.compile("[ \t\n]")
 SEPARATOR = "\x01"
 MARKS = ".,"
 
 
+def _stretches(text: str) -> Iterator[str]:
+    """The text, cut at white space where it is longer than ``SPAN``."""
+    at = 0
+    while len(text) - at > SPAN:
+        seam = SEAM.search(text, at + SPAN)
+        if not seam:
+            break
+        yield text[at : seam.start()]
+        at = seam.start()
+    yield text[at:] if at else text
+
+
 class WordIds:
     """Ids of whole texts as little-endian bytes, in one worker.
 
@@ -56,10 +73,32 @@ class WordIds:
         return re.split("[ \t\n\r]+", text) if ODD_SPACE.search(text) else text.split()
 
     def ids(self, batch: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHE:
-            self.cache = {}
-        cut = [self.words(t) for t in batch]
-        self.encode(list(set(chain.from_iterable(cut)).difference(self.cache)))
+        """The ids of each text; the cache is bounded whatever the texts are."""
+        found: list[list[bytes]] = [[] for _ in batch]
+        held, owners, size = [], [], 0
+
+        def out():
+            for r, ids in zip(owners, self._stretches(held), strict=True):
+                found[r].append(ids)
+
+        for r, text in enumerate(batch):
+            for part in _stretches(text):
+                held.append(part), owners.append(r)
+                size += len(part)
+                if size > SPAN:
+                    out()
+                    held, owners, size = [], [], 0
+        out()
+        return [b"".join(parts) for parts in found]
+
+    def _stretches(self, parts: list[str]) -> list[bytes]:
+        cut = [self.words(t) for t in parts]
+        try:
+            return [b"".join(map(self.cache.__getitem__, words)) for words in cut]
+        except KeyError:
+            if len(self.cache) > CACHE:
+                self.cache = {}
+            self.encode(list(set(chain.from_iterable(cut)).difference(self.cache)))
         return [b"".join(map(self.cache.__getitem__, words)) for words in cut]
 
     def encode(self, missing: list[str]) -> None:
@@ -81,16 +120,27 @@ class WordIds:
         self.cache.update((m, self.cache[m[:-1]] + self.mark[m[-1]]) for m in marked)
 
 
+_kept: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """This process's encoder for a tokenizer file; its cache outlives the task.
+
+    Looked up by a function of the module: what a shipped closure names itself, it copies.
+    """
+    if path not in _kept:
+        _kept[path] = WordIds(path)
+    return _kept[path]
+
+
 def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity: int) -> DataFrame:
     """One row per piece, with the task that made it and its number among the task's pieces of that length."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     end = np.array([END_ID], "<u4").tobytes()
-    kept: list[WordIds] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
-        encoder = kept[0] if kept else WordIds(tokenizer)
-        kept[:] = [encoder]
+        encoder = word_ids(tokenizer)
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in slices(batches):
             row, number, start, length, crc, nth = [], [], [], [], [], []
@@ -115,16 +165,28 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity
     )
 
 
-def _pair(have: np.ndarray, total: int) -> tuple[int, int] | None:
-    """Two available lengths of that sum, the most even counts first."""
-    low = np.arange(1, total // 2 + 1)
-    most = np.minimum(have[low], have[total - low])
-    if total % 2 == 0 and total:
-        most[-1] = have[total // 2] // 2
-    if not len(most) or not most.max():
-        return None
-    a = int(low[most.argmax()])
-    return a, total - a
+class PairSums:
+    """The lengths that occur, by the sum of two of them."""
+
+    def __init__(self, lengths: np.ndarray, most: int):
+        low, high = np.meshgrid(lengths, lengths, indexing="ij")
+        total = np.where(low <= high, low + high, most + 1).ravel()
+        order = np.argsort(total, kind="stable")
+        self.edge = np.searchsorted(total[order], np.arange(most + 2))
+        self.low = low.ravel()[order[: self.edge[-1]]]
+
+    def find(self, have: np.ndarray, total: int) -> tuple[int, int] | None:
+        """Two available lengths of that sum, the most even counts first."""
+        low = self.low[self.edge[total] : self.edge[total + 1]]
+        if not len(low):
+            return None
+        most = np.minimum(have[low], have[total - low])
+        if 2 * low[-1] == total:
+            most[-1] = have[low[-1]] // 2
+        if not most.max():
+            return None
+        a = int(low[most.argmax()])
+        return a, total - a
 
 
 def pack(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -133,6 +195,7 @@ def pack(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
     for length, n in histogram.items():
         have[length] = n
     plan: list[tuple[tuple[int, ...], int]] = []
+    pairs = PairSums(np.nonzero(have)[0], capacity)
 
     def use(pattern: tuple[int, ...]) -> None:
         need = np.bincount(pattern, minlength=capacity + 1)
@@ -151,11 +214,11 @@ def pack(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
                 use((first,))
             elif fits((first, gap)):
                 use((first, gap))
-            elif (two := _pair(have, gap)) and fits((first, *two)):
+            elif (two := pairs.find(have, gap)) and fits((first, *two)):
                 use((first, *two))
             else:
                 for third in np.nonzero(have[1 : max(gap - 1, 1)])[0][::-1] + 1:
-                    two = _pair(have, gap - int(third))
+                    two = pairs.find(have, gap - int(third))
                     if two and fits((first, int(third), *two)):
                         use((first, int(third), *two))
                         break

@@ -4,8 +4,10 @@ Tier one is a broadcast table of the lengths of frequent pre-tokens, tier two a
 worker that encodes what the table misses. No pre-token is ever shuffled: the table comes from
 bounded per-task summaries of all documents that are merged pairwise; it affects speed alone.
 
-The pre-tokens are cut by a regular expression that agrees with the library on ``FAST`` characters
-(Latin letters, digits, punctuation); a text with any other character is encoded by the library.
+The pre-tokens are cut by a regular expression: a fast one for texts of Latin letters, digits and
+punctuation, one of Unicode classes for all others. Both agree with the library on every character
+that Unicode 15.1 assigns; a text with an unassigned one, whose class differs from one edition of
+Unicode to the next, is encoded by the library as a whole.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; rows, ties and repeats keep their
 own result row; an empty table gives no rows; other columns are ignored, whatever their names.
@@ -19,8 +21,10 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +62,7 @@ SLOW = re.compile(f"[^{_class(_LATIN)}]")
 PRETOKEN = re.compile(
     f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 )
+ANY_PRETOKEN = regex.compile(r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Between a letter and a space with a letter after it, pre-tokens always part.
 SEAM = re.compile("(?<=[a-z])(?= [a-z])")
 
@@ -74,6 +79,22 @@ def spans(text: str, size: int = SPAN) -> Iterator[str]:
     yield text[at:]
 
 
+@lru_cache(1 << 16)
+def _unassigned(char: str) -> bool:
+    return unicodedata.category(char) == "Cn"
+
+
+def pretokens(text: str) -> Iterator[list[str]]:
+    """The pre-tokens of each stretch of a text without unassigned characters."""
+    cut = ANY_PRETOKEN.findall if SLOW.search(text) else PRETOKEN.findall
+    return map(cut, spans(text))
+
+
+def uncertain(text: str) -> bool:
+    """Whether a character of the text has no class that every edition of Unicode agrees on."""
+    return bool(SLOW.search(text)) and any(map(_unassigned, set(text)))
+
+
 def _pruned(counts: Counter, size: int) -> Counter:
     return Counter(dict(counts.most_common(size)))
 
@@ -97,11 +118,12 @@ def frequent_pretokens(docs: DataFrame, special: list[str], size: int = TABLE) -
         counts: Counter = Counter()
         for b in slices(batches):
             for text in texts(b, "text"):
-                if not SLOW.search(text):
-                    for part in spans(text):
-                        counts.update(PRETOKEN.findall(part))
-            if len(counts) > 8 * size:
-                counts = _pruned(counts, size)
+                if uncertain(text):
+                    continue
+                for part in pretokens(text):
+                    counts.update(part)
+                    if len(counts) > 8 * size:
+                        counts = _pruned(counts, size)
         if counts:
             part = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_arrays(
@@ -144,10 +166,8 @@ class Lengths:
                     self.cache[m] = len(self.tokenizer.encode(m, add_special_tokens=False).ids)
 
     def count(self, text: str) -> int:
-        if SLOW.search(text):
+        if uncertain(text):
             return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if len(self.cache) > CACHE + len(self.table):
-            self.cache = dict(self.table)
         total, at = 0, 0
         for hit in [*self.special.finditer(text), None]:
             total += self._plain(text[at : hit.start() if hit else len(text)]) + (hit is not None)
@@ -156,17 +176,31 @@ class Lengths:
 
     def _plain(self, text: str) -> int:
         total = 0
-        for part in spans(text):
-            pretokens = PRETOKEN.findall(part)
-            lengths = list(map(self.cache.get, pretokens))
+        for part in pretokens(text):
+            if len(self.cache) > CACHE + len(self.table):
+                self.cache = dict(self.table)
+            lengths = list(map(self.cache.get, part))
             if None in lengths:
-                self.encode(list({p for p, n in zip(pretokens, lengths, strict=True) if n is None}))
-                lengths = list(map(self.cache.__getitem__, pretokens))
+                self.encode(list({p for p, n in zip(part, lengths, strict=True) if n is None}))
+                lengths = list(map(self.cache.__getitem__, part))
             total += sum(lengths)
         return total
 
 
-_kept: dict[int, Lengths] = {}
+_kept: dict[str, Lengths] = {}
+
+
+def lengths_of(path: str, table: dict[str, int]) -> Lengths:
+    """This process's counter for a tokenizer file; its cache outlives the task.
+
+    Looked up by a function of the module: what a shipped closure names itself, it copies.
+    """
+    known = _kept.get(path)
+    if known is None:
+        known = _kept[path] = Lengths(path, table)
+    elif known.table is not table:
+        known.table, known.cache = table, known.cache | table
+    return known
 
 
 def token_counts(
@@ -183,9 +217,7 @@ def token_counts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
-        if table.value is not getattr(_kept.get(0), "table", None):
-            _kept[0] = Lengths(tokenizer, table.value)
-        lengths = _kept[0]
+        lengths = lengths_of(tokenizer, table.value)
         for b in slices(batches):
             n = [lengths.count(t) for t in texts(b, "text")]
             yield pa.RecordBatch.from_arrays(
