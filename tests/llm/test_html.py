@@ -1,9 +1,13 @@
 """Main text of hand-written pages with known articles."""
 
+import math
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from rowquarry.llm.html import extract, main_text, op4_html
+from rowquarry.llm.html import BLOCKS, density, evidence, extract, main_text, op4_html, parse
 
 P = ["The harbour was quiet when the first boats left before dawn, and nobody on the pier spoke.",
      "By noon the wind had turned &amp; the nets came up full; the crews sang on the way home.",
@@ -78,3 +82,94 @@ def test_table_repeats_clashing_columns_and_missing_ids(spark, sf):
 ])
 def test_words_of_a_class_or_id_are_only_evidence(html, want):
     assert extract(html) == want
+
+
+INSIDE = "<p>A sentence of the article that stands in this part and should be read, too.</p>"
+
+
+@pytest.mark.parametrize("mark", [
+    "id='discussion'", "id='related-work'", "class='tags'", "id='notice'", "class='share-price'", "class='ad-hoc'", "class='side-by-side'",
+])
+def test_prose_in_an_article_stays(mark):
+    text = INSIDE[3:-4]
+    assert extract(page(f"<article>{BODY}<section {mark}>{INSIDE}</section></article>")) == f"{WANT}\n\n{text}"
+
+
+@pytest.mark.parametrize("mark", ["class='ad-box'", "class='comments'", "class='cookie-notice'", "class='newsletter-signup'"])
+def test_parts_that_are_no_article_go(mark):
+    assert extract(page(f"<article>{BODY}<section {mark}>{INSIDE}</section></article>")) == WANT
+
+
+def test_link_lists_and_names():
+    assert extract(page(f"<article>{BODY}<div class='share'>{LINKS}</div></article>")) == WANT
+    kept = extract(page(f"<article>{BODY}<h2>References</h2>{LINKS}</article>"))
+    assert kept.startswith(WANT + "\n\nReferences\n\nSection number 0") and kept.endswith("Section number 11")
+    assert [evidence(x) for x in ("ad", "ad-300x250", "ad-hoc", "has-menu", "menu", "comment-list", "side-by-side", "adBox")] == [2, 2, 0, 0, 1, 2, 0, 2]
+
+
+def test_headings_and_texts_beside_the_content():
+    want = f"The title\n\n{WANT}"
+    assert extract(page(f"<h1>The title</h1><div>{BODY}</div>")) == want
+    assert extract(page(f"<div class='menu'>{LINKS}</div><div><h1>The title</h1><div><div>{BODY}</div></div></div>")) == want
+    two = extract(page(f"<div class='menu'>{LINKS}</div><div>{BODY}</div><div><p>{P[1]}</p><p>{P[0]}</p></div>"))
+    assert two == f"{WANT}\n\n{P[1].replace('&amp;', '&')}\n\n{P[0]}"
+
+
+def test_quotes_that_do_not_close_and_quotes_in_values():
+    assert extract(page(f"<div><p class=\"x>{P[0]}</p><p class=\"y\">{P[2]}</p></div>")) == f"{P[0]}\n\n{P[2]}"
+    assert extract(f"<div>{BODY}<p class=\"x>{P[0]}</p></div>") == f"{WANT}\n\n{P[0]}"
+    assert extract(page(f"<div title=\"the hidden > half\" data-x='a=\"b\"'>{BODY}</div>")) == WANT
+    assert extract(page(f"<div>{BODY}</div><script>if (a</script>b) x = '</scr' + 'ipt>'</script>")).startswith(WANT)
+
+
+@pytest.mark.parametrize("unit", [
+    '<a "', "<a ", "<div>", "</i>", "<!", "<", "<a b='", "<a b=\">", "<b><div>", "<p><td>", "<div class='menu' id='a'>", "<li><ul>", "<i></b>", "<script>", "<!--",
+    "<dd><p>", "<button><p>", "<h2>", "&amp", "< ", "</", "<a b = ",
+])
+def test_malformed_pages_take_time_in_proportion(unit):
+    large = f"<div>{BODY}</div>" + unit * (1_000_000 // len(unit))
+    start = time.process_time()
+    got = extract(large)
+    assert time.process_time() - start < 20
+    assert P[0] in got
+
+
+def test_density_by_brute_force_on_small_trees():
+    rng = random.Random(3)
+
+    def tree(depth):
+        out = ""
+        for _ in range(rng.randrange(1, 4)):
+            tag = rng.choice(["div", "p", "a", "b", "ul"]) if depth else "b"
+            inner = tree(depth - 1) if depth and rng.random() < 0.7 and tag not in ("p", "a") else ""
+            out += f"<{tag}>{'word ' * rng.randrange(4)}{inner}</{tag}>"
+        return out
+
+    def counts(n):
+        chars = tags = link_chars = link_tags = 0
+        for p in n.parts:
+            if isinstance(p, str):
+                chars += len("".join(p.split()))
+            else:
+                c, t, lc, lt = counts(p)
+                chars, tags, link_chars, link_tags = chars + c, tags + t + 1, link_chars + lc, link_tags + lt + (p.tag == "a")
+        return chars, tags, chars if n.tag == "a" else link_chars, link_tags
+
+    from rowquarry.llm.html import _measure
+
+    for _ in range(60):
+        root, nodes = parse(f"<body>{tree(3)}</body>")
+        body = nodes[1]
+        _measure(nodes, body)
+        c_b, _, lc_b, _ = counts(body)
+        for n in nodes:
+            c, t, lc, lt = counts(n)
+            assert (n.chars, n.tags, n.link_chars, n.link_tags) == (c, t, lc, lt)
+            want = 0.0
+            if c > lc:
+                t1, lc1, lt1 = max(t, 1), max(lc, 1), max(lt, 1)
+                b = math.log(c / max(c - lc1, 1) * lc1 + max(lc_b, 1) / max(c_b, 1) * c + math.e)
+                want = max(0.0, c / t1 * math.log(c / lc1 * t1 / lt1, b))
+            assert n.density == pytest.approx(want) == density(c, t, lc, lt, c_b, lc_b)
+            assert n.total == pytest.approx(sum(p.density for p in n.parts if not isinstance(p, str)))
+    assert "div" in BLOCKS
