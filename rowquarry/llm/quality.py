@@ -5,8 +5,8 @@ with an unknown share of positives. That share is estimated by best-bin estimati
 network on measures of the whole text minimises the non-negative unbiased risk.
 
 Defined results: a null or empty text scores 0; repeated rows score alike; without a positive
-label among the training rows every text with words scores 1 (nothing is known against it); an
-empty table gives no rows; other columns are ignored, whatever their names.
+label among the training rows every text with words scores 1 (nothing is known against it); a row
+without an id is not held out; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -196,6 +196,6 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = scores(docs, train(docs, documents(spark, sf_dir, "labels")))
     return found.select(
-        F.col("id").alias("doc_id"), (fold("id") == 0).alias("held_out"), "score",
+        F.col("id").alias("doc_id"), F.coalesce(fold("id") == 0, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )

@@ -29,6 +29,7 @@ def test_held_out(spark, query, label, cut, least):
     y, s = np.array([r[label] for r in held]), np.array([r.score for r in held])
     assert auc(s, y) >= least
     assert ((s >= cut) == (y == 1)).mean() >= 0.9
+    assert (s >= cut)[y == 1].mean() >= 0.9 and (y == 1)[s >= cut].mean() >= 0.9  # recall, precision
 
 
 def edge_frames(spark):
@@ -55,6 +56,26 @@ def test_toxicity_edges(spark):
     assert got[1004] > max(got[k] for k in range(0, 80, 2))  # an unseen form shares n-grams
 
 
+@pytest.mark.parametrize("query", [op5_toxicity, op7_quality])
+def test_queries_on_rows_without_an_id(spark, tmp_path, query):
+    docs, labels = edge_frames(spark)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    got = query(spark, str(tmp_path)).collect()
+    assert len(got) == 88 and [r.held_out for r in got if r.doc_id is None] == [False]
+    assert all(r.held_out is not None and r.score is not None for r in got)
+
+
+def test_a_bag_takes_the_most_toxic_words_of_the_whole_text():
+    assert toxicity.picks(np.array([0, 1, 2, 399, 400, 4000])).tolist() == [0, 1, 2, 2, 3, 12]
+    model = toxicity.Model(np.ones((toxicity.BUCKETS, 1)), np.array([[0.0], [1.0]]), -0.5)
+    values = {w: v for w, v in zip("abcd", (3.0, 1.0, -1.0, -2.0), strict=True)}
+    model._cache = dict(values)
+    expected = 1 / (1 + np.exp(-(-0.5 + (3.0 + 1.0) / 2)))
+    assert model.score("c a d b " + "d " * 30) == pytest.approx(expected)
+    assert model.score("b") == pytest.approx(1 / (1 + np.exp(-0.5)))
+
+
 def test_quality_edges(spark):
     docs, labels = edge_frames(spark)
     network = quality.train(docs, labels)
