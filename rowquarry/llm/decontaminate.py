@@ -9,10 +9,14 @@ stand there nearly whole, a short one as a phrase at or beside the place. Where
 a long last sentence or the item's rarer half of words tell a paraphrase.
 
 The SVD is of the benchmark's passages, not of the corpus: the words that tell a leak are rare in
-the corpus and do not survive a truncated SVD of it.
+the corpus and do not survive a truncated SVD of it. Its sums are taken over ``STEP`` passages at a
+time on the executors. A benchmark of more than ``MOST_WORDS`` words is dealt into parts by a hash
+of the item, each searched in a pass of its own, so what is broadcast has a bound.
 
-Defined results: null, empty and very short items (fewer than five words) match nothing, nor do
-null or empty texts; an item that stands in a document several times makes one row; repeated rows
+Items of fewer than ``LEAST_WORDS`` words are too short for a common subsequence to mean anything:
+they are looked for as phrases, exactly.
+
+Defined results: null and empty items match nothing, nor do null or empty texts; an item that stands in a document several times makes one row; repeated rows
 are found each; empty tables give no rows; other columns are ignored, whatever their names.
 """
 
@@ -33,7 +37,12 @@ from .common import documents, merged, slices, texts
 WINDOW, STRIDE = 32, 16
 #: Words of a benchmark passage.
 PASSAGE = 24
+#: Items of fewer words are looked for as phrases.
 LEAST_WORDS = 5
+#: Words of the benchmark that are searched for at once: bounds the broadcast vectors (100 MB).
+MOST_WORDS = 200_000
+#: Passages summed by one task of the SVD.
+STEP = 128
 RANK = 128
 OVERSAMPLE = 16
 POWER_ROUNDS = 2
@@ -75,14 +84,19 @@ class Items:
     def __init__(self, rows: list[tuple]):
         self.ids, self.items, self.answers, self.given = [], [], [], []
         self.rare: list[list[bytes]] = []  # of each item, from the time the weights are known
+        self.phrases: dict[bytes, list[tuple[list[bytes], int]]] = {}  # short items by their first word
         self.vocabulary: dict[bytes, int] = {}
         self.passages: list[tuple[int, int, list[int]]] = []  # item, first word, word ids
         for item_id, text, answer in rows:
             item = words(text or "")
-            if len(item) < LEAST_WORDS:
+            if not item:
                 continue
             k = len(self.items)
             self.ids.append(item_id), self.items.append(item)
+            if len(item) < LEAST_WORDS:
+                self.phrases.setdefault(item[0], []).append((item, k))
+                self.answers.append([]), self.given.append(False)
+                continue
             told = words(answer) if answer else []
             self.given.append(bool(told))
             self.answers.append(told or words(_last_sentence(text)))
@@ -94,6 +108,9 @@ class Items:
     def weigh(self, idf: np.ndarray) -> None:
         """Find each item's rarer half of words, in order."""
         for item in self.items:
+            if len(item) < LEAST_WORDS:
+                self.rare.append([])
+                continue
             weight = idf[[self.vocabulary[w] for w in item]]
             self.rare.append([w for w, x in zip(item, weight >= np.median(weight), strict=True) if x])
 
@@ -106,11 +123,24 @@ class Items:
             return len(answer) < LEAST_ANSWER and _phrase(answer, around)
         return common(self.rare[k], region) >= PARAPHRASE * len(self.rare[k])
 
-    def vectors(self, idf: np.ndarray, which: slice = slice(None)) -> np.ndarray:
-        x = np.zeros((len(self.passages[which]), len(self.vocabulary)), np.float32)
-        for row, (_, _, ids) in enumerate(self.passages[which]):
-            np.add.at(x[row], ids, idf[ids])
-        return x
+    def short(self, doc: list[bytes]) -> set[int]:
+        """The short items that stand in a document as a phrase."""
+        found: set[int] = set()
+        if self.phrases and not self.phrases.keys().isdisjoint(doc):
+            for at, w in enumerate(doc):
+                for item, k in self.phrases.get(w, ()):
+                    if k not in found and doc[at : at + len(item)] == item:
+                        found.add(k)
+        return found
+
+    def vectors(self, idf: np.ndarray, which: slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """The words that the passages have, and the passages' TF-IDF over these words."""
+        some = self.passages[which]
+        used = np.unique(np.concatenate([ids for _, _, ids in some]))
+        x = np.zeros((len(some), len(used)), np.float32)
+        for row, (_, _, ids) in enumerate(some):
+            np.add.at(x[row], np.searchsorted(used, ids), idf[ids])
+        return used, x
 
 
 def _phrase(short: list[bytes], long: list[bytes]) -> bool:
@@ -175,8 +205,8 @@ def latent_space(spark: SparkSession, items: Items, idf: np.ndarray, rank: int =
     """
     n, d = len(items.passages), len(items.vocabulary)
     size = min(rank + OVERSAMPLE, n, d)
-    step = 2_048
-    starts = spark.createDataFrame([(i,) for i in range(0, n, step)], "at int")
+    step = STEP
+    starts = spark.createDataFrame([(i,) for i in range(0, n, step)], "at int").repartition(max(1, min(64, n // step)))
     basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, size)))[0].astype(np.float32)
     shared = spark.sparkContext.broadcast((items, idf))
     for last in [False] * POWER_ROUNDS + [True]:
@@ -187,9 +217,13 @@ def latent_space(spark: SparkSession, items: Items, idf: np.ndarray, rank: int =
             total = 0.0
             for b in batches:
                 for at in b.column("at").to_pylist():
-                    x = held.vectors(weights, slice(at, at + step))
-                    y = x @ now.value
-                    total = total + (y.T @ y if last else x.T @ y)
+                    used, x = held.vectors(weights, slice(at, at + step))
+                    y = x @ now.value[used]
+                    if last:
+                        total = total + y.T @ y
+                    else:
+                        total = np.zeros((d, size)) if np.isscalar(total) else total
+                        total[used] += x.T @ y
             if not np.isscalar(total):
                 yield _part(total)
 
@@ -211,7 +245,10 @@ class Searcher:
         self.items = items
         items.weigh(idf)
         self.word_vectors = np.concatenate([idf[:, None] * space, np.zeros((1, space.shape[1]), np.float32)])
-        latent = items.vectors(idf) @ space
+        latent = np.zeros((len(items.passages), space.shape[1]), np.float32)
+        for at in range(0, len(latent), STEP):
+            used, x = items.vectors(idf, slice(at, at + STEP))
+            latent[at : at + STEP] = x @ space[used]
         self.norm = np.linalg.norm(latent, axis=1)
         self.unit = (latent / np.maximum(self.norm, 1e-9)[:, None]).T.copy()
 
@@ -220,8 +257,10 @@ class Searcher:
         nothing = len(self.items.vocabulary)
         cut = [words(t) for t in texts_]
         ids, first = _blocks([_ids(self.items.vocabulary, x) for x in cut], nothing)
-        hits: dict[tuple[int, int], tuple[float, bool]] = {}
-        for at in range(0, len(ids), BLOCK_WORDS // STRIDE):
+        hits: dict[tuple[int, int], tuple[float, bool]] = {
+            (k, i): (1.0, False) for k, doc in enumerate(cut) for i in self.items.short(doc)
+        }
+        for at in range(0, len(ids) if nothing else 0, BLOCK_WORDS // STRIDE):
             part = ids[at : at + BLOCK_WORDS // STRIDE + 1]  # one row more: windows are two rows
             sums = _row_sums(part, self.word_vectors, nothing)
             pair = sums[:-1] + sums[1:] if len(sums) > 1 else sums
@@ -237,15 +276,23 @@ class Searcher:
         return [(doc, i, lcs, a) for (doc, i), (lcs, a) in sorted(hits.items()) if lcs >= SAME or a]
 
 
-def searcher(docs: DataFrame, benchmark: DataFrame, text_col: str, answer_col: str | None) -> Searcher | None:
-    """None if the benchmark has no item that could be found."""
+def searchers(docs: DataFrame, benchmark: DataFrame, text_col: str, answer_col: str | None) -> Iterator[Searcher]:
+    """One for each part of the benchmark, of about ``MOST_WORDS`` words each; none for items that hold no word."""
     answer = F.col(answer_col) if answer_col else F.lit(None).cast("string")
-    items = Items([tuple(r) for r in benchmark.select("item_id", "text", answer.alias("answer")).toLocalIterator()])
-    if not items.items:
-        return None
-    frequency, windows = window_frequencies(docs.select(F.col(text_col).alias("text")), items.vocabulary)
-    idf = np.log((windows + 1) / (frequency + 1)).astype(np.float32) + 1e-3
-    return Searcher(items, idf, latent_space(docs.sparkSession, items, idf))
+    rows = benchmark.select("item_id", "text", answer.alias("answer"))
+    size = F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"[^\p{L}\p{N}]+")))
+    parts = -(-(rows.agg(size).first()[0] or 0) // MOST_WORDS)
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(parts, 1)))
+    for k in range(parts):
+        items = Items([tuple(r) for r in rows.where(part == k).toLocalIterator()])
+        if not items.items:
+            continue
+        if items.vocabulary:
+            frequency, windows = window_frequencies(docs.select(F.col(text_col).alias("text")), items.vocabulary)
+            idf = np.log((windows + 1) / (frequency + 1)).astype(np.float32) + 1e-3
+            yield Searcher(items, idf, latent_space(docs.sparkSession, items, idf))
+        else:
+            yield Searcher(items, np.zeros(0, np.float32), np.zeros((0, 1), np.float32))
 
 
 def contaminated(
@@ -259,11 +306,14 @@ def contaminated(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     item_type = benchmark.schema["item_id"].dataType.simpleString()
     schema = f"id {rows.schema['id'].dataType.simpleString()}, item_id {item_type}, lcs double, answer boolean"
-    search = searcher(docs, benchmark, text_col, answer_col)
-    if search is None:
-        return docs.sparkSession.createDataFrame([], schema)
-    shared = docs.sparkSession.sparkContext.broadcast(search)
+    found = docs.sparkSession.createDataFrame([], schema)
+    for k, search in enumerate(searchers(docs, benchmark, text_col, answer_col)):
+        part = rows.mapInArrow(_finder(docs.sparkSession.sparkContext.broadcast(search)), schema)
+        found = found.unionByName(part) if k else part
+    return found
 
+
+def _finder(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 64):
             if good := shared.value.found(texts(b, "text")):
@@ -273,23 +323,25 @@ def contaminated(
                     ["id", "item_id", "lcs", "answer"],
                 )
 
-    return rows.mapInArrow(run, schema)
+    return run
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", answer_col: str | None = None) -> DataFrame:
     """The rows of ``docs`` that hold no item of the benchmark, whole; no shuffle."""
-    search = searcher(docs, benchmark, text_col, answer_col)
-    if search is None:
-        return docs
-    shared = docs.sparkSession.sparkContext.broadcast(search)
+    left = docs
+    for search in searchers(docs, benchmark, text_col, answer_col):
+        left = left.mapInArrow(_cleaner(docs.sparkSession.sparkContext.broadcast(search), text_col), docs.schema)
+    return left
+
 
+def _cleaner(shared, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 64):
             stay = np.ones(b.num_rows, bool)
             stay[[doc for doc, *_ in shared.value.found(texts(b, text_col))]] = False
             yield b.filter(pa.array(stay))
 
-    return docs.mapInArrow(run, docs.schema)
+    return run
 
 
 def _row_sums(ids: np.ndarray, vectors: np.ndarray, nothing: int) -> np.ndarray:
@@ -325,7 +377,8 @@ def _check(items: Items, doc: list[bytes], at: int, passage: int, row: int, hits
     lcs = common(item, region) / len(item)
     around = doc[max(0, lo - PASSAGE) : at + WINDOW - offset + len(item) + 2 * PASSAGE]
     told = PARAPHRASE <= lcs < SAME and items.told(k, region, around)
-    hits[(row, k)] = max(hits.get((row, k), (0.0, False)), (lcs, told))
+    most, before = hits.get((row, k), (0.0, False))
+    hits[(row, k)] = max(most, lcs), before or told  # an answer found at one place holds for the document
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,3 +130,36 @@ def test_paraphrases_with_a_short_answer(spark, case):
     got = {(x.id, x.item_id) for x in contaminated(d, b, answer_col="answer").collect()}
     weak = {i for i, t in made if common(words(items[i // 2][1]), words(t)) >= 0.8 * len(words(items[i // 2][1]))}
     assert {i for i, _ in got if i % 2} <= weak and len({i for i, _ in got if i % 2 == 0}) >= 0.9 * len(items)
+
+
+def test_an_answer_at_one_place_holds_for_the_document():
+    from rowquarry.llm import decontaminate
+
+    items = decontaminate.Items([(1, " ".join(f"w{i}" for i in range(20)), "Paris")])
+    items.rare = [[]]
+    item, other = items.items[0], [b"x%d" % i for i in range(60)]
+    one = item[:14] + other[:6] + [b"paris"]  # 0.70 with the answer beside it
+    two = item[:15] + other[6:11]  # 0.75 without
+    doc, hits = one + other * 3 + two, {}
+    for at in (0, len(one) + len(other) * 3):
+        decontaminate._check(items, doc, at, 0, 0, hits)
+    assert hits == {(0, 0): (0.75, True)}
+
+
+def test_short_items_are_phrases(spark):
+    items = [(1, "Paris"), (2, "forty two"), (3, "one two three four"), (4, " "), (5, None)]
+    docs = [(1, "in Paris, in spring"), (2, "forty; TWO of them"), (3, "forty one two three"), (4, "zero one two three four five"), (5, "parisian"), (6, None)]
+    d, b = frames(spark, docs, items)
+    assert sorted((r.id, r.item_id, r.lcs) for r in contaminated(d, b).collect()) == [(1, 1, 1.0), (2, 2, 1.0), (4, 3, 1.0)]
+    assert sorted(r.doc_id for r in clean(d, b).collect()) == [3, 5, 6]
+
+
+def test_a_large_benchmark_is_searched_in_parts(spark, case, monkeypatch):
+    from rowquarry.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "MOST_WORDS", 600)
+    monkeypatch.setattr(decontaminate, "STEP", 8)
+    docs, items, want = case
+    d, b = frames(spark, docs, items)
+    assert {(r.id, r.item_id) for r in contaminated(d, b).collect()} == want
+    assert {r.doc_id for r in clean(d, b).collect()} == {i for i, _ in docs} - {i for i, _ in want}
