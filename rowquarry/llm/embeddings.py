@@ -1,9 +1,13 @@
 """Embedding near-duplicates by spherical k-means cells and blocked cosines (operator 6).
 
-Every vector has a home cell, that of its nearest centre. A linked pair x, y with homes a, b obeys
-x.a >= x.b and |x - y| <= r, r = sqrt(2 - 2 * threshold), hence y.b - y.a <= r * |b - a|. A vector
-visits each cell for which that holds, so that every pair meets in the home cell of either side,
-and a vector's links are all counted in its own home cell: nothing is missed at cell borders.
+Each label's vectors get their own cells; a label of few vectors is one cell. Every vector has a home
+cell, that of its nearest centre. A linked pair x, y with homes a, b obeys x.a >= x.b and
+|x - y| <= r, r = sqrt(2 - 2 * threshold), hence y.b - y.a <= r * |b - a|; and the angle between y
+and a is at most a's radius (the largest angle of its vectors) and that of the threshold. Of two
+cells one is visited from the other: each vector of that other cell for which both hold visits it,
+so every pair of vectors meets in one cell and nothing is missed at cell borders.
+
+A large cell is dealt out in blocks of home vectors, each compared with all vectors of the cell.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and
 vectors without a label, link with nothing and form their own group; a row without an id links
@@ -26,10 +30,12 @@ from .graph import components, forest
 THRESHOLD = 0.98
 #: Vectors that the centres are fitted on (every vector is assigned and compared).
 SAMPLE = 32_768
-#: Most centres: with the sample it bounds what the driver fits and what is broadcast.
+#: Most centres of all labels: with the sample it bounds what the driver fits and what is broadcast.
 MAX_CELLS = 2_048
-#: Rows of a cell that are compared at once; larger cells are dealt out in blocks of home vectors.
-BLOCK = 2_048
+#: Vectors of a cell, as far as ``MAX_CELLS`` allows.
+CELL = 4_096
+#: Home vectors that a task holds, and vectors that it compares with them at once.
+BLOCK, CHUNK = 4_096, 512
 #: Links held before they are contracted to a spanning forest.
 LINKS = 1 << 18
 #: Slack for rounding in the border test.
@@ -56,109 +62,231 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _assigner(centres: np.ndarray, radius: float):
-    """Rows (cell, home, ...) of each vector for its home cell and for each cell that it visits."""
-    between = np.linalg.norm(centres[:, None, :] - centres[None, :, :], axis=2) * radius + SLACK
+class Cells:
+    """The centres of the labels that have several cells; all others have the one cell 0."""
+
+    def __init__(self, centres: dict[int, np.ndarray]):
+        self.centres = centres
+
+    def similarities(self, label: int, x: np.ndarray) -> np.ndarray:
+        """Cosines with the label's centres; without centres one column of ones."""
+        centres = self.centres.get(label)
+        return np.ones((len(x), 1)) if centres is None else x @ centres.T
+
+
+def _by_label(batch: pa.RecordBatch, dim: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(label, rows, vectors) of a batch."""
+    label, x = batch.column("label").to_numpy(), _matrix(batch.column("embedding"), dim)
+    order = np.argsort(label, kind="stable")
+    edge = np.nonzero(np.diff(label[order]))[0] + 1
+    for rows in np.split(order, edge) if len(order) else ():
+        yield int(label[rows[0]]), rows, x[rows]
+
+
+def _homes(shared, dim: int):
+    """Each vector with its home cell and its cosine with that centre."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dim = centres.shape[1]
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 b = batch.slice(at, BLOCK)
-                sims = _matrix(b.column("embedding"), dim) @ centres.T
-                home = sims.argmax(axis=1)
-                own = sims[np.arange(len(home)), home]
-                row, cell = np.nonzero(own[:, None] - sims <= between[home])
+                cell, near = np.zeros(b.num_rows, np.int32), np.ones(b.num_rows)
+                for label, rows, x in _by_label(b, dim):
+                    sims = shared.value.similarities(label, x)
+                    cell[rows] = sims.argmax(axis=1)
+                    near[rows] = sims.max(axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell.astype(np.int32)), pa.array(home[row] == cell)]
-                    + [b.column(c).take(pa.array(row)) for c in ("rep", "label", "w", "embedding")],
-                    ["cell", "home", "rep", "label", "w", "embedding"],
+                    [*(b.column(c) for c in ("rep", "label", "w", "embedding")), pa.array(cell), pa.array(near)],
+                    ["rep", "label", "w", "embedding", "cell", "near"],
                 )
 
     return run
 
 
-def _compare(threshold: float, dim: int):
-    """Runs of one (label, cell, block) in a task: home rows of the block first, then all others.
-
-    The block's home rows are held (at most about twice ``BLOCK``); what follows streams past them.
-    """
+def _visits(shared, radius_of, dim: int, threshold: float):
+    """Rows (label, cell, rep, w, embedding) of each vector for each cell that it visits."""
+    r, wide = (2 - 2 * threshold) ** 0.5, np.arccos(threshold) + SLACK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, home_ids, home_x, counts, links, held = None, [], [], None, [], 0
-        ids = x = None
-
-        def freeze():
-            nonlocal ids, x, counts, home_ids, home_x
-            if ids is None and home_ids:
-                ids, x = np.concatenate(home_ids), np.concatenate(home_x)
-                counts = np.zeros(len(ids), np.int64)
-                home_ids, home_x = [], []
-
-        def tree():
-            nonlocal links, held
-            if links:
-                links = [forest(*(np.concatenate(z) for z in zip(*links, strict=True)))]
-                held = len(links[0][0])
-
-        def flush():
-            nonlocal ids, x, counts, links, held
-            freeze()
-            if ids is None:
-                return None
-            tree()
-            a, b = links[0] if links else (np.empty(0, np.int64),) * 2
-            n = len(ids)
-            out = pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([ids, a])),
-                    pa.array(np.concatenate([ids, b])),
-                    pa.array(np.concatenate([counts, np.zeros(len(a), np.int64)])),
-                ],
-                ["a", "b", "n"],
-            )
-            ids = x = counts = None
-            links, held = [], 0
-            return out if n else None
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                b = batch.slice(at, BLOCK)
+                home, rows_out, cells_out = b.column("cell").to_numpy(), [], []
+                for label, rows, x in _by_label(b, dim):
+                    centres = shared.value.centres.get(label)
+                    if centres is None:
+                        continue
+                    own = home[rows]
+                    sims = x @ centres.T
+                    apart = np.sqrt(np.maximum(2 - 2 * (centres @ centres.T), 0))
+                    other = np.arange(len(centres))
+                    # of two cells, one is visited: by turns, so that no cell does all the visiting
+                    turn = (own[:, None] < other) == ((own[:, None] + other) % 2 == 1)
+                    go = turn & (own[:, None] != other)
+                    go &= sims[np.arange(len(rows)), own][:, None] - sims <= r * apart[own] + SLACK
+                    go &= np.arccos(np.clip(sims, -1, 1)) <= radius_of.value[label] + wide
+                    row, cell = np.nonzero(go)
+                    rows_out.append(rows[row]), cells_out.append(cell)
+                if rows_out:
+                    row, cell = np.concatenate(rows_out), np.concatenate(cells_out).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("label").take(pa.array(row)), pa.array(cell)]
+                        + [b.column(c).take(pa.array(row)) for c in ("rep", "w", "embedding")],
+                        ["label", "cell", "rep", "w", "embedding"],
+                    )
+
+    return run
+
+
+#: A row's part in a block: one of its home vectors; another home vector of the cell; a visitor.
+HELD, HOME, VISITOR = 0, 1, 2
+
+
+class Block:
+    """Home vectors of a block, their counts so far and a spanning forest of the links found."""
+
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.ids = None
+        self.links: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+        self.visitors: list[tuple[np.ndarray, np.ndarray]] = []
 
+    def close(self) -> None:
+        """All home vectors are there: compare them with each other."""
+        if self.ids is None and self.parts:
+            self.ids, self.x, self.w = (np.concatenate(z) for z in zip(*self.parts, strict=True))
+            self.counts = np.zeros(len(self.ids), np.int64)
+            self.parts = []
+            self.meet(self.ids, self.x, self.w, HELD)
+
+    def meet(self, ids: np.ndarray, x: np.ndarray, w: np.ndarray, role: int) -> None:
+        for s in range(0, len(ids), CHUNK):
+            e = s + CHUNK
+            near = self.x @ x[s:e].T >= self.threshold
+            self.counts += near @ w[s:e]
+            i, j = np.nonzero(near)
+            if role == VISITOR:
+                count = np.bincount(j, self.w[i], minlength=len(ids[s:e])).astype(np.int64)
+                self.visitors.append((ids[s:e][count > 0], count[count > 0]))
+            apart = self.ids[i] != ids[s:e][j]
+            if apart.any():
+                self.links.append((self.ids[i][apart], ids[s:e][j][apart]))
+                self.held += int(apart.sum())
+                if self.held > LINKS:
+                    self.contract()
+
+    def contract(self) -> None:
+        if self.links:
+            self.links = [forest(*(np.concatenate(z) for z in zip(*self.links, strict=True)))]
+            self.held = len(self.links[0][0])
+
+    def out(self) -> pa.RecordBatch | None:
+        """Rows (a, a, n) of counts and (a, b, 0) of links."""
+        self.close()
+        if self.ids is None:
+            return None
+        self.contract()
+        a, b = self.links[0] if self.links else (np.empty(0, np.int64),) * 2
+        who, n = (np.concatenate(z) for z in zip((self.ids, self.counts), *self.visitors, strict=True))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([who, a])), pa.array(np.concatenate([who, b])), pa.array(np.concatenate([n, np.zeros(len(a), np.int64)]))],
+            ["a", "b", "n"],
+        )
+
+
+def _compare(threshold: float, dim: int):
+    """Rows sorted by (label, cell, block, role): the block's home vectors are held, the others stream past them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, block = None, Block(threshold)
         for batch in batches:
-            label, cell = (batch.column(c).to_numpy() for c in ("label", "cell"))
-            block, role = (batch.column(c).to_numpy() for c in ("block", "role"))
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("label", "cell", "block", "role")])
             rep, w = batch.column("rep").to_numpy(), batch.column("w").to_numpy()
             vectors = _matrix(batch.column("embedding"), dim)
-            change = (label[1:] != label[:-1]) | (cell[1:] != cell[:-1]) | (block[1:] != block[:-1])
-            change |= role[1:] != role[:-1]
-            edge = np.concatenate([[0], np.nonzero(change)[0] + 1, [len(label)]]) if len(label) else [0]
+            edge = [0, *(np.nonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))[0] + 1).tolist(), len(rep)]
             for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-                now = (label[lo], cell[lo], block[lo])
+                now, role = tuple(keys[:3, lo]), keys[3, lo]
                 if now != key:
-                    if (out := flush()) is not None:
+                    if (out := block.out()) is not None:
                         yield out
-                    key = now
-                if role[lo] == 0:
-                    home_ids.append(rep[lo:hi])
-                    home_x.append(vectors[lo:hi])
-                    continue
-                freeze()
-                if ids is None:
-                    continue
-                for s in range(lo, hi, BLOCK):
-                    e = min(hi, s + BLOCK)
-                    near = x @ vectors[s:e].T >= threshold
-                    counts += near @ w[s:e]
-                    i, j = np.nonzero(near)
-                    keep = ids[i] != rep[s:e][j]
-                    if keep.any():
-                        links.append((ids[i][keep], rep[s:e][j][keep]))
-                        held += int(keep.sum())
-                        if held > LINKS:
-                            tree()
-        if (out := flush()) is not None:
+                    key, block = now, Block(threshold)
+                if role == HELD:
+                    block.parts.append((rep[lo:hi], vectors[lo:hi], w[lo:hi]))
+                else:
+                    block.close()
+                    if block.ids is not None:
+                        block.meet(rep[lo:hi], vectors[lo:hi], w[lo:hi], role)
+        if (out := block.out()) is not None:
             yield out
 
     return run
 
 
+def _fit(part: DataFrame, vectors: int, sample: int) -> dict[int, np.ndarray]:
+    """The centres of the labels that have several cells, from at most ``sample`` of their vectors."""
+    size = max(CELL, -(-vectors // MAX_CELLS))
+    counts = part.groupBy("label").count().where(F.col("count") > size)  # at most MAX_CELLS rows
+    many = {r["label"]: r["count"] for r in counts.toLocalIterator()}
+    if not many:
+        return {}
+    chosen = part.join(F.broadcast(counts.select("label")), "label", "left_semi").orderBy(F.xxhash64("rep"), "rep").limit(sample)
+    by_label: dict[int, list] = {}
+    for r in chosen.select("label", "embedding").toLocalIterator():
+        by_label.setdefault(r[0], []).append(r[1])
+    found = {}
+    for label, rows in by_label.items():
+        cells = min(-(-many[label] // size), len(rows) // 8)
+        if cells > 1:
+            x = np.array(rows, np.float64)
+            x /= np.abs(x).max(axis=1, keepdims=True)
+            found[label] = kmeans(x / np.linalg.norm(x, axis=1, keepdims=True), cells)
+    return found
+
+
+def _links(part: DataFrame, vectors: int, dim: int, kind: str, threshold: float, sample: int) -> DataFrame:
+    """(a, a, n) and (a, b, 0) of the vectors of one length."""
+    context = part.sparkSession.sparkContext
+    cells = Cells(_fit(part, vectors, sample))
+    shared = context.broadcast(cells)
+    homes = part.select("rep", "label", "w", "embedding").mapInArrow(
+        _homes(shared, dim), f"rep long, label long, w long, embedding {kind}, cell int, near double"
+    )
+    homes = written(homes, "homes")
+    sizes = homes.groupBy("label", "cell").agg(
+        F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("near").alias("near")
+    )
+    sizes = written(sizes, "sizes")
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    held = F.array(F.struct(own.alias("block"), F.lit(HELD).alias("role")))
+    all_blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
+    others = F.transform(F.array_except(all_blocks, F.array(own)), lambda i: F.struct(i.alias("block"), F.lit(HOME).alias("role")))
+    columns = ["label", "cell", "rep", "w", "embedding"]
+
+    def dealt(rows: DataFrame, to) -> DataFrame:
+        return rows.join(sizes.select("label", "cell", "blocks"), ["label", "cell"]).select(
+            *columns, F.explode(to).alias("to")
+        ).select(*columns, "to.block", "to.role")
+
+    rows = dealt(homes.select(*columns), F.concat(held, others))
+    if cells.centres:
+        radius = {label: np.full(len(c), -np.inf) for label, c in cells.centres.items()}  # of an empty cell: none visits
+        wanted = context.broadcast(set(radius))
+        labels = sizes.sparkSession.createDataFrame([(k,) for k in wanted.value], "label long")
+        for r in sizes.join(F.broadcast(labels), "label", "left_semi").toLocalIterator():
+            radius[r.label][r.cell] = np.arccos(np.clip(r.near, -1, 1))
+        guests = homes.join(F.broadcast(labels), "label", "left_semi").mapInArrow(
+            _visits(shared, context.broadcast(radius), dim, threshold), f"label long, cell int, rep long, w long, embedding {kind}"
+        )
+        visit = F.transform(all_blocks, lambda i: F.struct(i.alias("block"), F.lit(VISITOR).alias("role")))
+        rows = rows.unionByName(dealt(guests, visit))
+    runs = rows.repartition("label", "cell", "block").sortWithinPartitions("label", "cell", "block", "role")
+    return runs.mapInArrow(_compare(threshold, dim), "a long, b long, n long")
+
+
 def near_duplicates(
     vectors: DataFrame,
     id_col: str = "vec_id",
@@ -184,7 +312,7 @@ def near_duplicates(
             v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
         ) & F.exists(v, lambda c: c != 0)
     )
-    rows = written(rows.withColumn("usable", F.coalesce(usable, F.lit(False))), "vectors")
+    rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False)))
     good = rows.where("usable")
     distinct = good.groupBy("label", "embedding").agg(F.min("id").alias("rep"), F.count("*").alias("w"))
     # labels of any type become dense-free text keys once; vectors of each length are compared apart
@@ -194,37 +322,12 @@ def near_duplicates(
     )
     edges = None
     for dim, n in sorted(tuple(r) for r in distinct.groupBy("dim").count().collect()):
-        part = distinct.where(F.col("dim") == dim)
-        fit = part.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("embedding")
-        x = np.array([r[0] for r in fit.toLocalIterator()], np.float64)
-        x /= np.abs(x).max(axis=1, keepdims=True)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        cells = max(1, min(MAX_CELLS, len(x) // 8, round(n / BLOCK)))
-        centres = kmeans(x, cells)
-        del x
-        placed = part.select("rep", "label", "w", "embedding").mapInArrow(
-            _assigner(centres, (2 - 2 * threshold) ** 0.5),
-            f"cell int, home boolean, rep long, label long, w long, embedding {kind}",
-        )
-        sizes = placed.where("home").groupBy("label", "cell").count()
-        placed = placed.join(sizes, ["label", "cell"]).withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))
-        mine = F.when(F.col("home"), F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        # each block of a cell's home vectors meets all vectors of the cell, itself included
-        dealt = placed.withColumn("own", mine).select(
-            "label", "cell", "rep", "w", "embedding",
-            F.explode(F.concat(
-                F.when(F.col("home"), F.array(F.struct(F.col("own").alias("block"), F.lit(0).alias("role")))).otherwise(
-                    F.array().cast("array<struct<block:int,role:int>>")),
-                F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.alias("block"), F.lit(1).alias("role"))),
-            )).alias("to"),
-        ).select("label", "cell", "rep", "w", "embedding", "to.block", "to.role")
-        runs = dealt.repartition("label", "cell", "block").sortWithinPartitions("label", "cell", "block", "role")
-        found = runs.mapInArrow(_compare(threshold, dim), "a long, b long, n long")
+        found = _links(distinct.where(F.col("dim") == dim), n, dim, kind, threshold, sample)
         edges = found if edges is None else edges.union(found)
     if edges is None:
         return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     edges = written(edges, "links")
-    # a row (a, a, n) is the count of a vector's weights within reach, itself and its copies included
+    # rows (a, a, n) add up to the weights within a vector's reach, itself and its copies included
     counts = edges.where("a = b").groupBy("a").agg(F.sum("n").alias("n"))
     groups = components(edges.where("a <> b").select("a", "b"))
     known = (

@@ -59,13 +59,31 @@ def test_the_table(spark, sf):
 
 def test_many_cells_blocks_and_few_held_links(spark, monkeypatch):
     rows = cloud()
-    for block, links in ((40, 50), (100, 1 << 18)):
+    for cell, block, links in ((30, 40, 50), (100, 20, 1 << 18), (60, 4096, 1 << 18)):
+        monkeypatch.setattr(embeddings, "CELL", cell)
         monkeypatch.setattr(embeddings, "BLOCK", block)
+        monkeypatch.setattr(embeddings, "CHUNK", 16)
         monkeypatch.setattr(embeddings, "LINKS", links)
         df = spark.createDataFrame(rows, SCHEMA).withColumn("id", F.lit("clash")).withColumn("cell", F.lit(1)).withColumn("w", F.lit(None))
         assert found(near_duplicates(df)) == brute(rows)
 
 
+def test_cells_are_bounded_over_all_labels_and_cells_prune(spark, monkeypatch):
+    """Clustered vectors visit few of the cells that a label has."""
+    monkeypatch.setattr(embeddings, "CELL", 50)
+    rng = np.random.default_rng(4)
+    spots = rng.normal(size=(20, 24))
+    rows = [(i, (spots[i % 20] + 0.1 * rng.normal(size=24)).tolist(), i % 3 % 2) for i in range(1500)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert found(near_duplicates(df)) == brute(rows)
+    part = df.select(F.col("vec_id").alias("rep"), F.col("label").cast("long").alias("label"), F.lit(1).cast("long").alias("w"), "embedding")
+    centres = embeddings._fit(part, 1500, 1000)
+    assert {k: len(c) for k, c in centres.items()} == {0: 20, 1: 10}
+    monkeypatch.setattr(embeddings, "MAX_CELLS", 4)
+    assert sum(len(c) for c in embeddings._fit(part, 1500, 1000).values()) <= 6
+    assert found(near_duplicates(df)) == brute(rows)
+
+
 def test_edges(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(1, None, 0), (2, [], 0), (3, [0.0, 0.0], 0), (4, [1.0, None], 0), (5, [nan, 1.0], 0), (6, [inf, 1.0], 0)]
