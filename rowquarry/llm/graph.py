@@ -6,13 +6,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
 #: Edges that one task contracts at a time.
 BLOCK_EDGES = 1_000_000
+#: Parts that the neighbours of a node are dealt into where they meet its smallest one.
+SALTS = 16
+
+
+def salted(column) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int").alias("salt")
+
+
+def copies() -> Column:
+    """One row for each part."""
+    return F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt")
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,8 +80,11 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     seen = None
     for _ in range(max_rounds):
         both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        # only nodes with a larger neighbour link anything; a root with very many is dealt out in parts
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("top")).where("top > a")
+        low = low.select("a", F.least("a", "m").alias("m"), copies())
+        large = both.where("b > a").select("a", "b", salted("b")).join(low, ["a", "salt"])
+        large = large.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         large = large.mapInArrow(_contract, schema).distinct()
         # small star: each node (child) links its smaller neighbours, and itself, to the smallest
         low = large.groupBy("a").agg(F.min("b").alias("m"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, shared_path, slices, texts
+from .common import documents, shared_path, slices, texts, unused
 
 RULES = "1"
 KINDS = ("assign", "access", "hex")
@@ -88,25 +88,36 @@ def _blob(text_col: str):
     return F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
 
 
+def _cut(text: str, findings: list[dict]) -> str:
+    """The text with ``<kind>`` for each finding; of overlapping ones the first names what all cover."""
+    out, at = [], 0
+    for f in findings:
+        if f["start"] >= at:
+            out += [text[at : f["start"]], f"<{f['kind']}>"]
+        at = max(at, f["end"])
+    return "".join([*out, text[at:]])
+
+
 def redacted(docs: DataFrame, ledger: BlobLedger, text_col: str = "text", rules: str = RULES) -> DataFrame:
     """``docs`` with every finding of the ledger replaced by ``<kind>``; overlapping findings become one."""
+    blob, findings = unused(docs, "blob"), unused(docs, "findings")
     held = ledger.read(rules).where(F.size("findings") > 0)
-    held = held.select(F.col("blob").alias("__blob"), F.col("findings").alias("__findings"))
-    whole = docs.withColumn("__blob", _blob(text_col)).join(held, "__blob", "left")
-    text = F.col(text_col)
-    none = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def step(acc, f):
-        before = text.substr((acc["at"] + 1).cast("int"), (f["start"] - acc["at"]).cast("int"))
-        more = F.when(f["start"] >= acc["at"], F.array(before, F.concat(F.lit("<"), f["kind"], F.lit(">"))))
-        out = F.concat(acc["out"], F.coalesce(more, F.array().cast("array<string>")))
-        return F.struct(out.alias("out"), F.greatest(acc["at"], f["end"]).alias("at"))
-
-    def finish(acc):
-        return F.concat(F.array_join(acc["out"], ""), text.substr((acc["at"] + 1).cast("int"), F.length(text)))
-
-    cut = F.when(F.col("__findings").isNull(), text).otherwise(F.aggregate("__findings", none, step, finish))
-    return whole.withColumn(text_col, cut).select(*docs.columns)
+    held = held.select(F.col("blob").alias(blob), F.col("findings").alias(findings))
+    whole = docs.withColumn(blob, _blob(text_col)).join(held, blob, "left").drop(blob)
+    names, at = docs.columns, docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            found, columns = b.column(findings), [b.column(c) for c in names]
+            if found.null_count < len(found):
+                now = columns[at].to_pylist()
+                for k, had in enumerate(found.to_pylist()):
+                    if had:
+                        now[k] = _cut(now[k], had)
+                columns[at] = pa.array(now, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return whole.mapInArrow(run, docs.schema)
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

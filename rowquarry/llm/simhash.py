@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, raw_texts, slices, written
-from .graph import components, forest
+from .graph import components, copies, forest, salted
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
 SEED = 42
 #: (first bit, bits) of the segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: Fingerprints of one key from which it is cut further, by groups of the bits outside its segment.
+LARGE = 2_048
 #: Shingles hashed at once.
 BLOCK = 1 << 16
 #: Links held before they are contracted to a spanning forest.
@@ -80,6 +82,33 @@ def variant_keys(fp):
     return F.array(*keys)
 
 
+def _groups_of_bits(key: int, max_bits: int) -> list[np.uint64]:
+    """Masks of the bits outside the key's segment, one more than may differ: one of them is equal."""
+    bit = key >> 32
+    first, width = next(s for s in SEGMENTS if s[0] <= bit < sum(s))
+    free = [b for b in range(64) if not first <= b < first + width]
+    return [np.uint64(sum(1 << int(b) for b in part)) for part in np.array_split(free, max_bits + 1)]
+
+
+def _run_links(key: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_links``; runs of many fingerprints are compared only where a group of further bits is equal."""
+    edge = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(key)]])
+    large = np.nonzero(np.diff(edge) > LARGE)[0]
+    if not len(large):
+        return _links(key, fp, max_bits)
+    small = np.ones(len(key), bool)
+    found = []
+    for r in large.tolist():
+        lo, hi = edge[r], edge[r + 1]
+        small[lo:hi] = False
+        for mask in _groups_of_bits(int(key[lo]), max_bits):
+            part = (fp[lo:hi].view(np.uint64) & mask).view(np.int64)
+            order = np.argsort(part, kind="stable")
+            found.append(_links(part[order], fp[lo:hi][order], max_bits))
+    found.append(_links(key[small], fp[small], max_bits))
+    return forest(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+
 def _links(key: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the verified links within runs of equal keys.
 
@@ -118,14 +147,14 @@ def _linker(max_bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             cut = int(np.searchsorted(k, k[-1], "left"))
             if cut or (last is not None and last != k[-1]):
                 parts.append((k[:cut], f[:cut]))
-                a, c = _links(*(np.concatenate(x) for x in zip(*parts, strict=True)), max_bits)
+                a, c = _run_links(*(np.concatenate(x) for x in zip(*parts, strict=True)), max_bits)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["a", "b"])
                 parts = []
             parts.append((k[cut:], f[cut:]))
             last = k[-1]
         if parts:
-            a, c = _links(*(np.concatenate(x) for x in zip(*parts, strict=True)), max_bits)
+            a, c = _run_links(*(np.concatenate(x) for x in zip(*parts, strict=True)), max_bits)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["a", "b"])
 
@@ -148,11 +177,14 @@ def near_duplicates(
     keyed = distinct.select(F.explode(variant_keys(F.col("fp"))).alias("key"), "fp")
     runs = keyed.repartition("key").sortWithinPartitions("key", "fp")
     found = components(runs.mapInArrow(_linker(max_bits), "a long, b long"))
-    roots = distinct.join(found, distinct.fp == found.node, "left").select(
-        "fp", "rep", F.coalesce("component", "fp").alias("root")
-    )
-    least = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return fps.join(roots.join(least, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    # fingerprints of a group meet its smallest id in parts, so that a large group is no task's alone
+    known = distinct.join(found.select(F.col("node").alias("fp"), F.col("component").alias("root")), "fp", "left")
+    linked = distinct.join(found.select("component").distinct(), distinct.fp == F.col("component"), "left_semi")
+    linked = known.where("root is not null").unionByName(linked.withColumn("root", F.col("fp")))
+    least = linked.groupBy("root").agg(F.min("rep").alias("component_id")).select("*", copies())
+    linked = linked.select("fp", "root", salted("fp")).join(least, ["root", "salt"]).select("fp", "component_id")
+    whole = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    return fps.join(whole, "fp").select("id", "fp", "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
