@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowquarry.llm import decontaminate, jaccard, packing, quality, secrets, simhash
-from rowquarry.llm.common import documents, shared_path, written
+from rowquarry.llm.common import documents, shared_path, unused, written
 from rowquarry.llm.graph import components
 
 
@@ -22,19 +22,28 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates.
+    """One document of each group of near duplicates: that of the smallest id.
 
     Two texts are near duplicates if their SimHash fingerprints are (at most four bits apart), or if
-    their sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+    their sets of five-word shingles have a Jaccard similarity of 0.8 or more. Rows are told apart by
+    id and text: rows that share an id but not a text are compared like any others, and of rows that
+    share both one stays.
     """
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = docs.select("doc_id", text.alias("node"), "text")
     close = simhash.near_duplicates(rows, id_col="node").select(F.col("id").alias("a"), F.col("component_id").alias("b"))
     found = components(close.union(jaccard.similar(rows.select("node", "text"))))
-    ids = rows.where("doc_id is not null").select("doc_id", "node").distinct()
+    ids = rows.where("doc_id is not null").groupBy("doc_id", "node").agg(F.count("*").alias("n"))
     grouped = ids.join(found, "node", "left").withColumn("group", F.coalesce("component", "node"))
-    least = grouped.groupBy("group").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    known = docs.join(least, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return known.unionByName(docs.where("doc_id is null"))
+    least = grouped.groupBy("group").agg(F.min(F.struct("doc_id", "node")).alias("least")).select("least.*")
+    least = written(least.join(ids, ["doc_id", "node"]), "least")
+    node, number = unused(docs, "node"), unused(docs, "n")
+    least = least.select("doc_id", F.col("node").alias(node), F.col("n").alias(number))
+    named = docs.withColumn(node, text)
+    kept = named.join(least.where(F.col(number) == 1), ["doc_id", node], "left_semi")
+    if not (twice := least.where(F.col(number) > 1)).isEmpty():
+        kept = kept.unionByName(named.join(twice, ["doc_id", node], "left_semi").dropDuplicates(["doc_id", node]))
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +55,9 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their secrets replaced; a changed text has its length counted again."""
     ledger = secrets.BlobLedger(spark, shared_path(spark, "ledger"))
     ledger.update(docs)
-    found = secrets.redacted(docs.withColumn("__before", F.octet_length("text")), ledger)
-    changed = F.octet_length("text") != F.col("__before")
+    before = unused(docs, "before")
+    found = secrets.redacted(docs.withColumn(before, F.octet_length("text")), ledger)
+    changed = F.octet_length("text") != F.col(before)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         found = found.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
