@@ -40,10 +40,38 @@ def test_quality(spark, sf, kept):
     assert {tuple(r) for r in kept[1]} <= {tuple(r) for r in kept[0]}
 
 
+def shingles(text):
+    w = [x.lower() for x in re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())]
+    return {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))}
+
+
 def test_near_duplicates(kept):
+    """Groups by all pairs: fingerprints within four bits, or Jaccard similarity of 0.8 or more."""
     rows = sorted(kept[1], key=lambda r: r.doc_id)
-    want = groups([r.doc_id for r in rows], [fingerprint((r.text or "").encode()) for r in rows])
-    assert sorted(r.doc_id for r in kept[2]) == sorted(i for i, c in want.items() if i == c)
+    ids, sets = [r.doc_id for r in rows], [shingles(r.text) for r in rows]
+    root = dict(groups(ids, [fingerprint((r.text or "").encode()) for r in rows]))
+    for x in range(len(rows)):
+        for y in range(x):
+            if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]):
+                a, b = root[ids[x]], root[ids[y]]
+                root = {i: min(a, b) if c in (a, b) else c for i, c in root.items()} if a != b else root
+    assert sorted(r.doc_id for r in kept[2]) == sorted(i for i, c in root.items() if i == c)
+    assert {tuple(r) for r in kept[2]} <= {tuple(r) for r in kept[1]}
+
+
+def test_rows_that_share_an_id_and_clashing_columns(spark, sf):
+    text = [" ".join(f"{c}{k}" for k in range(40)) for c in "abc"]
+    rows = [(1, text[0]), (1, text[1]), (2, text[2]), (3, text[1]), (3, text[1]), (4, text[2] + " x"), (5, "p q"), (5, "p q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("before", "_before", "__before", "blob", "__blob", "findings", "node", "n", "group", "least"):
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.length("text")))
+    got = corpus_pipeline.near_dedup(spark, docs, sf).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([(1, text[0]), (1, text[1]), (2, text[2]), (5, "p q")])
+    assert all(r["__before"] == f"__before{len(r.text)}" and r["node"] == f"node{len(r.text)}" for r in got)
+    secret = docs.withColumn("text", F.concat("text", F.lit(" password=abcdefgh12 end")))
+    out = corpus_pipeline.secret_scan(spark, secret, sf).collect()
+    assert all(r["text"].endswith(" <assign> end") for r in out)
+    assert sorted(r["__blob"] for r in out) == sorted(f"__blob{len(t)}" for _, t in rows)
 
 
 def test_decontamination(spark, sf, kept):

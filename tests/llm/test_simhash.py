@@ -73,6 +73,7 @@ def test_many_near_copies_in_one_group_and_blocks(spark, monkeypatch):
     made = spark.createDataFrame([(i, int(np.uint64(f).astype(np.int64))) for i, f in rows], "id long, fp long")
     monkeypatch.setattr(simhash, "fingerprints", lambda *a, **b: made)
     monkeypatch.setattr(simhash, "LINKS", 100)
+    monkeypatch.setattr(simhash, "LARGE", 300)
     want = groups([i for i, _ in rows], fps)
     assert {r.id: r.component_id for r in near_duplicates(made.withColumn("doc_id", F.lit(1))).collect()} == want
 
@@ -84,3 +85,22 @@ def test_repeats_missing_ids_and_empty_tables(spark):
     assert got == [(0, 0), (0, 5), (5, 5), (5, 5)]
     with pytest.raises(ValueError, match="at most"):
         near_duplicates(spark.createDataFrame([], SCHEMA), max_bits=6)
+
+
+def test_large_runs_cut_by_further_bits_lose_no_link(monkeypatch):
+    rng = np.random.default_rng(8)
+    key, fp = [], []
+    for run in range(6):
+        first, width = simhash.SEGMENTS[run % 3]
+        fixed = int(rng.integers(1 << width)) << first
+        outside = ~(((1 << width) - 1) << first) & (2**64 - 1)
+        spots = [int(x) for x in rng.integers(0, 1 << 63, 40)]
+        made = {(s ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 4), replace=False))) & outside | fixed for s in spots for _ in range(10)}
+        fp.append(sorted(made))
+        key += [((first + run) << 32 | run)] * len(made)
+    fp = np.array([x for part in fp for x in part], np.uint64).view(np.int64)
+    key = np.array(key, np.int64)
+    plain = simhash._links(key, fp, 4)
+    monkeypatch.setattr(simhash, "LARGE", 50)
+    for a, b in zip(plain, simhash._run_links(key, fp, 4), strict=True):
+        assert np.array_equal(a, b)
