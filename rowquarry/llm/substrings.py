@@ -3,9 +3,14 @@
 A window is ``WINDOW`` consecutive words of a document. Of the hashes of the shorter word runs in a
 window, the smallest is its fingerprint: equal windows have equal fingerprints, and a document has
 about one fingerprint per five windows. The index holds immutable runs of (fingerprint, document),
-each a sequence of sorted blocks. A new batch is merged with all runs on the fingerprint; only
-documents that share one are read again, and their windows are verified by two independent hashes
-of the whole word sequence. Runs are compacted into one sorted run when they become many.
+each bucketed and sorted by fingerprint, in as many buckets as the index was made with. A new batch
+is written as a run and merge-joined, bucket by bucket and without a shuffle, with itself and with
+each run of history; only documents that share a fingerprint are read again. Runs are compacted into
+one by merging them two at a time, bucket by bucket as well.
+
+Windows that share a fingerprint are verified by 112 bits of two independent hashes of their whole
+word sequences, from independent hashes of the words: among 10^13 windows a wrong match anywhere is
+less likely than one in ten million. The words themselves would be five times as much to shuffle.
 
 Whatever many documents hold is combined before it is shuffled: a block of documents sends one row
 of a fingerprint or window that several of them hold, so no task receives more rows of a key than
@@ -20,6 +25,7 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import compress
 
@@ -28,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, raw_texts, shared_path, slices
+from .common import documents, raw_texts, shared_path, slices, written
 
 WINDOW = 13
 #: Words of the runs whose smallest hash is a window's fingerprint.
@@ -37,6 +43,10 @@ RUN = 5
 CACHE = 400_000
 #: Runs of an index before they are compacted.
 MOST_RUNS = 8
+#: Batches of documents, by id, that the query feeds to its index.
+BATCHES = 2
+#: Documents of history that are chosen by a broadcast list (8 bytes each), beyond it by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Fingerprints or windows that a task holds and combines at once.
 BLOCK = 1_500_000
 
@@ -44,20 +54,48 @@ _BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _MIX = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
-class WordHashes:
-    """64-bit hashes of words, cached in one worker."""
+class _Numbers(dict):
+    """Words by number of first use; a new word is hashed as it comes."""
 
     def __init__(self):
-        self.cache: dict[bytes, int] = {}
+        self.hashes = np.empty((2, 1 << 12), np.uint64)
 
-    def of(self, words: list[bytes]) -> np.ndarray:
+    def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self.cache) > CACHE:
-            self.cache = {}
-        cache = self.cache
-        cache.update((w, xxhash.xxh64_intdigest(w, 7)) for w in set(words).difference(cache))
-        return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+        n = self[word] = len(self)
+        if n == self.hashes.shape[1]:
+            self.hashes = np.concatenate([self.hashes, np.empty_like(self.hashes)], axis=1)
+        both = xxhash.xxh3_128_intdigest(word, 7)
+        self.hashes[:, n] = both & 0xFFFFFFFFFFFFFFFF, both >> 64
+        return n
+
+
+class WordHashes:
+    """Two independent 64-bit hashes of words, cached in one worker."""
+
+    def __init__(self):
+        self.numbers = _Numbers()
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.numbers) > CACHE:
+            self.numbers = _Numbers()
+        numbers = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        low, high = self.numbers.hashes
+        return low[numbers], high[numbers]
+
+
+_kept: list[WordHashes] = []
+
+
+def word_hashes() -> WordHashes:
+    """This process's hashes, which outlive the task.
+
+    Looked up by a function of the module: what a shipped closure names itself, it copies.
+    """
+    if not _kept:
+        _kept.append(WordHashes())
+    return _kept[0]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -112,11 +150,11 @@ def fingerprints(rows: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (fp, owner, state)], ["fp", "id", "state"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = word_hashes()
         fps, owners, held = [], [], 0
         for b in slices(batches, 64):
             for i, text in zip(b.column("id").to_numpy(), raw_texts(b, "text"), strict=True):
-                fp = np.unique(window_fingerprints(hashes.of(text.split())).view(np.int64))
+                fp = np.unique(window_fingerprints(hashes.of(text.split())[0]).view(np.int64))
                 fps.append(fp), owners.append(np.full(len(fp), i, np.int64))
                 held += len(fp)
             if held >= BLOCK:
@@ -128,26 +166,6 @@ def fingerprints(rows: DataFrame) -> DataFrame:
     return rows.where("id is not null").mapInArrow(run, "fp long, id long, state byte")
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (fp, id): those that stand alone in their block but not in the batch."""
-    carry = None  # the last row so far, as arrays of one
-    for b in batches:
-        fp, owner, state = (b.column(c).to_numpy() for c in ("fp", "id", "state"))
-        sent = False
-        if carry is not None:
-            sent = carry[3]
-            fp, owner, state = (np.concatenate(x) for x in zip(carry[:3], (fp, owner, state), strict=True))
-        if not len(fp):
-            continue
-        same = np.concatenate([[False], fp[1:] == fp[:-1], [False]])
-        shared = same[1:] | same[:-1]
-        # the last row waits for the next batch, unless its run has begun already
-        shared[0] &= not sent
-        out = shared & (state == ALONE)
-        yield pa.RecordBatch.from_arrays([pa.array(owner[out]), pa.array(fp[out])], ["id", "fp"])
-        carry = (fp[-1:], owner[-1:], state[-1:], bool(shared[-1]) or (sent and len(fp) == 1))
-
-
 def _spans(flags: np.ndarray) -> np.ndarray:
     """The words that a flagged window covers."""
     at = flags.nonzero()[0]
@@ -158,12 +176,21 @@ def _spans(flags: np.ndarray) -> np.ndarray:
 
 
 class SubstringIndex:
-    """Fingerprints of all documents seen, in immutable Parquet runs of sorted blocks under one path."""
+    """Fingerprints of all documents seen, in immutable bucketed and sorted runs under one path.
 
-    SCHEMA = "fp long, id long, state byte"
+    A run's folder name ends in its number of buckets; all runs of an index have the same. Runs are
+    read as tables at their own path, so an index can be opened by another session.
+    """
+
+    COLUMNS = "fp long, id long, state byte"
+    KEEP_ORDER = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.path = spark, path
+        held = [int(r.rpartition("-")[2]) for r in self.runs()]
+        self.buckets = held[0] if held else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        spark.conf.set(self.KEEP_ORDER, "true")  # one file per bucket: scans come sorted
 
     def _fs(self, path: str):
         hpath = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -177,31 +204,65 @@ class SubstringIndex:
         names = sorted(s.getPath().getName() for s in fs.listStatus(root) if s.getPath().getName().startswith("run-"))
         return [f"{self.path}/{n}" for n in names if fs.exists(self._fs(f"{self.path}/{n}/_SUCCESS")[1])]
 
-    def read(self, runs: list[str] | None = None) -> DataFrame:
-        runs = self.runs() if runs is None else runs
-        return self.spark.read.schema(self.SCHEMA).parquet(*runs) if runs else self.spark.createDataFrame([], self.SCHEMA)
+    @staticmethod
+    def _name(run: str) -> str:
+        return "rowquarry_" + hashlib.md5(run.encode()).hexdigest()
+
+    def open(self, run: str) -> DataFrame:
+        name = self._name(run)
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} ({self.COLUMNS}) USING parquet "
+            f"CLUSTERED BY (fp) SORTED BY (fp, id) INTO {self.buckets} BUCKETS LOCATION '{run}'"
+        )
+        return self.spark.table(name)
+
+    def close(self) -> None:
+        """Take the runs' names out of the session; the runs stay."""
+        for run in self.runs():
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(run)}")
+
+    def read(self) -> DataFrame:
+        found = self.spark.createDataFrame([], self.COLUMNS)
+        for run in self.runs():
+            found = found.union(self.open(run))
+        return found
 
-    def _next(self) -> str:
+    def _write(self, rows: DataFrame) -> str:
+        """``rows``, dealt out by bucket, as a new run."""
         runs = self.runs()
-        return f"{self.path}/run-{int(runs[-1].rpartition('-')[2]) + 1 if runs else 0:06d}"
+        number = int(runs[-1].split("-")[-2]) + 1 if runs else 0
+        run = f"{self.path}/run-{number:06d}-{self.buckets}"
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._name(run)}")
+        writer = rows.write.mode("overwrite").bucketBy(self.buckets, "fp").sortBy("fp", "id")
+        writer.option("path", run).option("compression", "zstd").saveAsTable(self._name(run))
+        return run
 
     def append(self, rows: DataFrame) -> str:
         """Write the fingerprints of ``rows`` (id, text) as one run."""
-        path = self._next()
-        fingerprints(rows).write.mode("overwrite").parquet(path, compression="zstd")
-        return path
+        return self._write(fingerprints(rows).repartition(self.buckets, "fp"))
+
+    def _drop(self, run: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._name(run)}")
+        fs, at = self._fs(run)
+        fs.delete(at, True)
+
+    def merged(self, one: str, other: str) -> DataFrame:
+        """Two runs merged bucket by bucket; no shuffle and no sort but within a bucket."""
+        a, b = (self.open(r).select("fp", "id") for r in (one, other))
+        both = a.hint("merge").join(b, ["fp", "id"], "full_outer")
+        return both.withColumn("state", F.lit(ALONE).cast("byte"))
 
     def compact(self) -> None:
-        """Merge all runs into one; the old ones go when the new one is whole."""
-        runs = self.runs()
-        if len(runs) < 2:
-            return
-        merged = self.read(runs).withColumn("state", F.lit(ALONE).cast("byte"))
-        merged = merged.repartition("fp", "id").sortWithinPartitions("fp", "id")
-        merged.write.mode("overwrite").parquet(self._next(), compression="zstd")
-        for old in runs:
-            fs, at = self._fs(old)
-            fs.delete(at, True)
+        """Merge all runs into one, two at a time; the old ones go when the new one is whole."""
+        before = self.spark.conf.get(self.ALL_KEYS)
+        self.spark.conf.set(self.ALL_KEYS, "false")  # buckets of fp serve a join on (fp, id)
+        try:
+            while len(runs := self.runs()) > 1:
+                for one, other in zip(runs[::2], runs[1::2], strict=False):
+                    self._write(self.merged(one, other))
+                    self._drop(one), self._drop(other)
+        finally:
+            self.spark.conf.set(self.ALL_KEYS, before)
 
     def deduplicate(
         self, batch: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text"
@@ -209,18 +270,24 @@ class SubstringIndex:
         """(id, n_words, n_removed, kept) of every row of ``batch``; its fingerprints join the index.
 
         ``history`` has the documents that the index already holds; a window counts as seen if it
-        starts in a document of a smaller id there or in the batch.
+        starts in a document of a smaller id there or in the batch. The rows are found before the
+        index changes again: write them before the next batch.
         """
-        if len(self.runs()) >= MOST_RUNS:
-            self.compact()
         before = self.runs()
+        if before and history is None:
+            raise ValueError("the index holds earlier batches: their documents are needed to verify windows")
+        if len(before) >= MOST_RUNS:
+            self.compact()
+            before = self.runs()
         new = _rows(batch, id_col, text_col)
-        run = self.read([self.append(new)])
+        run = self.open(self.append(new))
         shared = self.within(run)
         rows = named = _squeezed(new)
-        if before and history is not None:
-            shared = shared.unionByName(self.across(run, self.read(before)))
-            rows = named.unionByName(_squeezed(_rows(history, id_col, text_col)))
+        for held in map(self.open, before):
+            mine, theirs = self.across(run, held)
+            needed = written(theirs, "history_fingerprints")
+            shared = shared.unionByName(mine).unionByName(needed)
+            rows = rows.unionByName(_squeezed(self.chosen(_rows(history, id_col, text_col), needed)))
         flagged = self.flagged(rows, shared.groupBy("id").agg(F.collect_list("fp").alias("fps")))
         # both joins deal the squeezed texts out by id: without a history Spark shuffles them once
         whole = named.join(flagged, "id", "left").select("id", "z", "start", "starts")
@@ -231,14 +298,22 @@ class SubstringIndex:
     def within(self, run: DataFrame) -> DataFrame:
         """(id, fp): fingerprints that another document of the run has too."""
         known = run.where(F.col("state") != ALONE).select("id", "fp")
-        sent = run.where(F.col("state") != STOOD_FOR).repartition("fp").sortWithinPartitions("fp", "id")
-        return known.unionByName(sent.mapInArrow(_repeats, "id long, fp long"))
-
-    def across(self, run: DataFrame, held: DataFrame) -> DataFrame:
-        """(id, fp): fingerprints of the run that the index held before, with the documents of either."""
-        one = run.join(held.select("fp").distinct(), "fp", "left_semi")
-        other = held.join(run.select("fp").distinct(), "fp", "left_semi")
-        return one.unionByName(other).select("id", "fp")
+        often = run.where(F.col("state") != STOOD_FOR).groupBy("fp").agg(F.count("*").alias("n")).where("n > 1")
+        alone = run.where(F.col("state") == ALONE).hint("merge").join(often, "fp", "left_semi").select("id", "fp")
+        return known.unionByName(alone)
+
+    def across(self, run: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(id, fp): fingerprints that a new run and an older one share, with the documents of either."""
+        one = run.hint("merge").join(held.select("fp"), "fp", "left_semi").select("id", "fp")
+        other = held.hint("merge").join(run.select("fp"), "fp", "left_semi").select("id", "fp")
+        return one, other
+
+    def chosen(self, history: DataFrame, needed: DataFrame) -> DataFrame:
+        """The documents of history that ``needed`` names, by a list as long as it is short."""
+        ids = written(needed.select("id").distinct(), "history_ids")
+        if ids.count() <= BROADCAST_IDS:
+            ids = F.broadcast(ids)
+        return history.join(ids, "id", "left_semi")
 
     def flagged(self, rows: DataFrame, shared: DataFrame) -> DataFrame:
         """(id, start array<int>, starts array<binary>): windows that start in a document of a smaller id.
@@ -257,22 +332,23 @@ class SubstringIndex:
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows with a shared fingerprint: (key, tag, id) are two hashes, the start and the document.
 
-    Of a window that several documents of a block have, only the smallest document's rows are sent
-    on as such; for the others it is settled, and their starts travel packed.
+    Of a window that several documents of a block have, only the smallest document's row is sent on
+    as such, once however often the window stands in it; for the others it is settled, and their
+    starts travel packed.
     """
-    hashes = WordHashes()
+    hashes = word_hashes()
     held: list[tuple[np.ndarray, ...]] = []
     count = 0
     for b in slices(batches, 32):
         for i, text, fps in zip(b.column("id").to_numpy(), _texts(b), b.column("fps"), strict=True):
-            h = hashes.of(text.split())
-            at = window_fingerprints(h)
+            low, high = hashes.of(text.split())
+            at = window_fingerprints(low)
             if not len(at):
                 continue
             wanted = np.sort(fps.values.to_numpy().view(np.uint64))
             place = np.minimum(np.searchsorted(wanted, at), len(wanted) - 1)
             start = np.nonzero(wanted[place] == at)[0]
-            one, two = (_rolled(h, WINDOW, base)[start] for base in _BASE)
+            one, two = (_rolled(h, WINDOW, base)[start] for h, base in zip((low, high), _BASE, strict=True))
             held.append((one.view(np.int64), two >> np.uint64(48), start, np.full(len(start), i, np.int64)))
             count += len(start)
         if count >= BLOCK:
@@ -289,10 +365,13 @@ def _settled(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     first = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
     least = owner[np.maximum.accumulate(np.where(first, np.arange(len(one)), 0))]
     known = owner > least
+    # rows are sorted by window, then document; starts of one document follow each other
+    again = ~first & (owner == np.concatenate([owner[:1], owner[:-1]]))
+    repeated = np.concatenate([again[1:], [False]])
     who, packed = _packed(owner[known], start[known])
-    open_ = ~known
+    open_ = ~known & ~again
     n, m = int(open_.sum()), len(who)
-    tag = (two[open_] << np.uint64(48) | start[open_].astype(np.uint64)).view(np.int64)
+    tag = (two[open_] << np.uint64(48) | repeated[open_].astype(np.uint64) << np.uint64(47) | start[open_].astype(np.uint64)).view(np.int64)
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.concatenate([one[open_], who])),  # settled rows are dealt out by their document
@@ -313,13 +392,17 @@ def _packed(owner: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, list[byte
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of windows sorted by (key, id): those that a smaller document has as well, and the settled ones."""
+    """Of windows sorted by (key, id): those that a smaller document has as well, and the settled ones.
+
+    The start of a window that stands in its document more than once comes as ``-1 - start``.
+    """
     last = None  # key, second hash and document of the first row of the run so far
     for b in batches:
         done = b.filter(b.column("starts").is_valid())
         b = b.filter(b.column("starts").is_null())
         key, tag, owner = (b.column(c).to_numpy() for c in ("key", "tag", "id"))
         two, start = tag.view(np.uint64) >> np.uint64(48), tag & 0xFFFFFFFF
+        start = np.where(tag >> 47 & 1, -1 - start, start)
         if last is not None:
             key, two, owner, start = (np.concatenate([[x], y]).astype(y.dtype) for x, y in zip((*last, 0), (key, two, owner, start), strict=True))
         if len(key):
@@ -358,6 +441,7 @@ def _texts(b: pa.RecordBatch) -> list[bytes]:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, n_words, n_removed, kept) with the words of the flagged windows removed."""
+    hashes = word_hashes()
     for b in slices(batches, 64):
         n, removed, kept = [], [], []
         for text, start, starts in zip(_texts(b), b.column("start"), b.column("starts").to_pylist(), strict=True):
@@ -365,7 +449,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(len(words))
             if starts is not None and len(words) >= WINDOW:
                 flags = np.zeros(len(words) - WINDOW + 1, bool)
-                for at in (start.values.to_numpy(), np.frombuffer(b"".join(starts), "<i4")):
+                at = start.values.to_numpy()
+                if (at < 0).any():
+                    one = _rolled(hashes.of(words)[0], WINDOW, _BASE[0])
+                    flags |= np.isin(one, one[-1 - at[at < 0]])
+                for at in (at[at >= 0], np.frombuffer(b"".join(starts), "<i4")):
                     flags[at[at < len(flags)]] = True
                 words = list(compress(words, (~_spans(flags)).tolist()))
             removed.append(n[-1] - len(words))
@@ -377,8 +465,22 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents in ``BATCHES`` batches of growing ids, each merged with the index of those before."""
+    docs = documents(spark, sf_dir)
     index = SubstringIndex(spark, shared_path(spark, "substrings"))
-    found = index.deduplicate(documents(spark, sf_dir))
-    return found.select(
-        F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
-    )
+    cuts = docs.approxQuantile("doc_id", [k / BATCHES for k in range(1, BATCHES)], 0.01)
+    edges = [None, *sorted({int(c) for c in cuts}), None]
+    found = None
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        named = F.lit(True) if low is None else F.col("doc_id") > low
+        part = named if high is None else named & (F.col("doc_id") <= high)
+        batch = docs.where(part | F.col("doc_id").isNull() if low is None else part)
+        history = None if low is None else docs.where(F.col("doc_id") <= low)
+        rows = index.deduplicate(batch, history).select(
+            F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+        )
+        rows = written(rows, "deduplicated")
+        found = rows if found is None else found.unionByName(rows)
+    index.compact()  # the next batch finds one run
+    index.close()
+    return found

@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from rowquarry.llm import substrings
@@ -69,12 +70,21 @@ def test_a_second_batch_sees_the_first_and_survives_compaction(spark, tmp_path,
     docs = fixture()
     one, two = (spark.createDataFrame(x, "doc_id long, text string") for x in (docs[:6], docs[6:]))
     want = brute(docs)
-    for most in (8, 1):
+    for most in (8, 1):  # the second index is compacted before it takes the second batch
         monkeypatch.setattr(substrings, "MOST_RUNS", most)
         idx = index(spark, tmp_path, f"two{most}")
         first = found(idx.deduplicate(one))
         second = found(idx.deduplicate(two, history=one))
         assert first | second == want
+    assert len(idx.runs()) == 2
+    third = [(20, docs[1][1] + " and " + docs[9][1]), (0, docs[0][1])]
+    four = spark.createDataFrame(third, "doc_id long, text string")
+    got = found(idx.deduplicate(four, history=one.union(two)))
+    assert got == {k: v for k, v in brute(docs + third).items() if k in (0, 20)}
+    with pytest.raises(ValueError, match="earlier batches"):
+        idx.deduplicate(four)
+    monkeypatch.setattr(substrings, "BROADCAST_IDS", 0)
+    assert found(idx.deduplicate(four, history=one.union(two))) == got
     idx.compact()
     assert len(idx.runs()) == 1 and idx.read().groupBy("fp", "id").count().where("count > 1").isEmpty()
 
@@ -86,3 +96,35 @@ def test_empty_table_repeated_rows_and_missing_ids(spark, tmp_path):
     rows = [(1, long), (1, long), (2, long), (None, long)]
     got = sorted((r.id or 0, r.n_removed) for r in index(spark, tmp_path, "r").deduplicate(spark.createDataFrame(rows, schema)).collect())
     assert got == [(0, 0), (1, 0), (1, 0), (2, 30)]
+
+
+def test_runs_are_merged_without_a_shuffle(spark, tmp_path):
+    """Neither the joins with the runs of history nor a compaction deal rows out again."""
+    idx = index(spark, tmp_path, "plan")
+    docs = spark.createDataFrame(fixture(), "doc_id long, text string").repartition(3)
+    rows = docs.select(F.col("doc_id").alias("id"), "text")
+    one, two = idx.append(rows), idx.append(rows.where("id < 9"))
+    spark.conf.set(idx.ALL_KEYS, "false")
+    try:
+        joined = [*idx.across(idx.open(one), idx.open(two)), idx.within(idx.open(one)), idx.merged(one, two)]
+        for k, df in enumerate(joined):
+            df.collect()
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan, plan
+            assert "Sort [" not in plan or k >= 2, plan  # scans come sorted
+    finally:
+        spark.conf.unset(idx.ALL_KEYS)
+    want = {(r.fp, r.id) for r in idx.open(one).union(idx.open(two)).collect()}
+    idx.compact()
+    again = SubstringIndex(spark, idx.path, buckets=99)
+    assert again.buckets == idx.buckets and {(r.fp, r.id) for r in again.read().collect()} == want
+    idx.close()
+
+
+def test_a_window_that_repeats_within_documents(spark, tmp_path, monkeypatch):
+    line = " ".join(words(0, 13)) + " "
+    docs = [(1, line * 40), (2, "start " + line * 60 + "end"), (3, line + "x " + line + "y " + line * 3), (4, line)]
+    for block in (substrings.BLOCK, 30):
+        monkeypatch.setattr(substrings, "BLOCK", block)
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+        assert found(index(spark, tmp_path, f"rep{block}").deduplicate(df)) == brute(docs)
