@@ -98,22 +98,33 @@ def _head_length(made: Column, at: int) -> Column:
     return (F.lit(at + 3) + 4 * _number(made.substr(at, 4))).cast("int")
 
 
-def _checked(x: Column) -> Column:
-    """The value if its header and payload are whole; an error otherwise."""
-    bad_head = F.lit("Incorrect header information found")
+def _faults(x: Column) -> tuple[Column, Column]:
+    """Whether the header of a compressed value is damaged, and whether its payload is."""
     blocks = _number(x.substr(31, 4))
     head_end = (F.lit(34) + 4 * blocks).cast("int")
     short = (F.length(x) < 35) | (x.substr(1, 4) != F.lit(bytes(MARKER)))
-    broken_head = (blocks > 1_000_000) | (F.length(x) <= head_end) | (
+    head = short | (blocks > 1_000_000) | (F.length(x) <= head_end) | (
         F.hex(_hash_bytes(x.substr(F.lit(13), head_end - 12))) != F.hex(x.substr(5, 8))
     )
-    broken = F.hex(_hash_bytes(x.substr(head_end + 1, F.length(x)))) != F.hex(x.substr(13, 8))
+    return head, F.hex(_hash_bytes(x.substr(head_end + 1, F.length(x)))) != F.hex(x.substr(13, 8))
+
+
+def is_damaged(x: Column | str) -> Column:
+    """Whether a compressed value would not decompress; null for null."""
+    raw = _col(x).cast("binary")
+    head, payload = _faults(raw)
+    return F.when(raw.isNotNull(), head | payload)
+
+
+def _checked(x: Column) -> Column:
+    """The value if its header and payload are whole; an error otherwise."""
+    bad_head = F.lit("Incorrect header information found")
+    broken_head, broken = _faults(x)
     message = F.when(x.substr(22, 1) == F.lit(b"\x01"), F.lit("Incorrect input vector")).otherwise(
         F.lit("An error was detected in the compressed data stream")
     )
     return (
-        F.when(short, F.raise_error(bad_head).cast("binary"))
-        .when(broken_head, F.raise_error(bad_head).cast("binary"))
+        F.when(broken_head, F.raise_error(bad_head).cast("binary"))
         .when(broken, F.raise_error(message).cast("binary"))
         .otherwise(x)
     )

@@ -11,6 +11,7 @@ beyond that ``levels_path`` names a Parquet table (code int, level string); ``or
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -106,12 +107,30 @@ def levels_table(spark: SparkSession, field: T.StructField, root: str = "") -> D
     return spark.createDataFrame(list(enumerate(said["levels"], 1)), LEVELS_SCHEMA)
 
 
+#: Levels that a row is compared with one by one; more are looked up by a hash.
+FEW_LEVELS = 100
+
+
 def code_of(value: Column, levels: Sequence[str]) -> Column:
     """1-based place among the levels; null for other values."""
     if not levels:
         return F.lit(None).cast("int")
-    found = F.array_position(F.array(*[F.lit(x) for x in levels]), value)
-    return F.when(found > 0, found.cast("int"))
+    if len(levels) <= FEW_LEVELS:
+        found = F.array_position(F.array(*[F.lit(x) for x in levels]), value)
+        return F.when(found > 0, found.cast("int"))
+    size = -(-len(levels) // 8)  # about eight levels for each value of the hash
+    names: list[list[str]] = [[] for _ in range(size)]
+    codes: list[list[int]] = [[] for _ in range(size)]
+    for code, level in enumerate(levels, 1):
+        place = zlib.crc32(level.encode()) % size
+        names[place].append(level), codes[place].append(code)
+    place = (F.crc32(value.cast("binary")) % size).cast("int")
+
+    def table(rows: list[list], kind: str) -> Column:
+        return F.array(*[F.array(*map(F.lit, r)).cast(f"array<{kind}>") for r in rows])
+
+    found = F.array_position(F.get(table(names, "string"), place), value)
+    return F.when(found > 0, F.get(F.get(table(codes, "int"), place), found.cast("int") - 1))
 
 
 def factor_code(df: DataFrame, column: str) -> Column:

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import workload
-from .functions.blob import compress, decompress, hash_blob
+from .functions.blob import compress, decompress, hash_blob, is_damaged
 from .functions.encoding import text_column
 from .functions.factors import factor, factor_code, factor_value
 from .operators.table import TableRef
-from .session import scratch_path
+from .session import OPTION, scratch_path, threads
+from .sources.aliases import table_metadata, table_read, table_write
 from .sources.store import metadata, read_table, stored_key, write_table
 from .types import ROW_ID, as_difftime, as_idate, as_itime, as_nanotime, as_posixct, as_raw
 
@@ -482,31 +483,28 @@ _compressed_round_trip("compress_roundtrip_lz4", compressor="LZ4")
 _compressed_round_trip("compress_roundtrip_hash", compressor="ZSTD", compression=50, hash=True)
 
 
-@query("SELECT true AS smaller, count(*) AS n FROM documents WHERE length(text) > 2000")
+@query("SELECT true AS smaller, count(*) AS n FROM documents WHERE text <> ''")
 def compress_ratio_positive(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("length(text) > 2000")
+    """All texts together take less room compressed."""
+    docs = table(spark, sf_dir, "documents").where("text <> ''")
     sizes = docs.select(F.octet_length("text").alias("raw"), F.octet_length(compress(F.col("text"))).alias("packed"))
     return sizes.agg((F.sum("packed") < F.sum("raw")).alias("smaller"), F.count("*").alias("n"))
 
 
-@query("SELECT 'header' AS damage, true AS detected UNION ALL SELECT 'payload', true")
+@query(
+    "SELECT doc_id, damage, true AS detected FROM documents, (VALUES ('header'), ('payload')) AS d(damage) WHERE text <> ''"
+)
 def corruption_detected(spark, sf_dir):
-    from pyspark.errors import PySparkException
-
-    docs = table(spark, sf_dir, "documents").where("length(text) > 2000")
-    packed = docs.select(compress(F.col("text"), hash=True).alias("x"))
+    """Whether a damaged byte is noticed, for each damaged text by itself."""
+    docs = table(spark, sf_dir, "documents").where("text <> ''")
+    packed = docs.select("doc_id", compress(F.col("text"), hash=True).alias("x"))
+    last = (F.conv(F.hex(F.expr("substring(x, length(x), 1)")), 16, 10).cast("int") + 1) % 256
     broken = {
         "header": F.concat(F.expr("substring(x, 1, 24)"), F.lit(b"\xff"), F.expr("substring(x, 26)")),
-        "payload": F.concat(F.expr("substring(x, 1, length(x) - 1)"), F.unhex(F.lpad(F.hex((F.conv(F.hex(F.expr("substring(x, length(x), 1)")), 16, 10).cast("int") + 1) % 256), 2, "0"))),
-    }
-    rows = []
-    for damage, x in broken.items():
-        try:
-            packed.select(F.octet_length(decompress(x)).alias("n")).agg(F.sum("n")).collect()
-            rows.append((damage, False))
-        except PySparkException as e:
-            rows.append((damage, "Incorrect header information found" in str(e) or "Incorrect input vector" in str(e)))
-    return spark.createDataFrame(rows, "damage string, detected boolean")
+        "payload": F.concat(F.expr("substring(x, 1, length(x) - 1)"), F.unhex(F.lpad(F.hex(last), 2, "0"))),
+    }
+    damaged = packed.select("doc_id", F.explode(F.create_map(*[v for k, x in broken.items() for v in (F.lit(k), x)])).alias("damage", "x"))
+    return damaged.select("doc_id", "damage", is_damaged(F.col("x")).alias("detected"))
 
 
 @query("SELECT count(DISTINCT text) AS n_hashes FROM documents")
@@ -558,6 +556,216 @@ def workload_group4(spark, sf_dir):
     return workload.group_median(df, by, {"med_price": "l_extendedprice"})
 
 
+@query(
+    "SELECT l_returnflag, l_linestatus, median(l_quantity) AS med_quantity, count(*) AS n FROM lineitem "
+    "WHERE l_discount > 0.04 AND l_returnflag <> 'N' GROUP BY 1, 2"
+)
+def workload_keyed_filter(spark, sf_dir):
+    """Read a keyed table, filter its rows, then group them."""
+    path = stored(spark, sf_dir, "lineitem", _LINE_ORDER)
+    rows = read_table(spark, path, ["l_returnflag", "l_linestatus", "l_quantity", "l_discount"], keyed=True)
+    rows = rows.where((F.col("l_discount") > 0.04) & (F.col("l_returnflag") != "N"))
+    return workload.group_median(rows, ["l_returnflag", "l_linestatus"], {"med_quantity": "l_quantity"})
+
+
+@query(
+    "SELECT * FROM (VALUES ('false', true), ('true', true), ('missing', true), ('integers', true), ('reals', true), ('cities', true)) AS t(share, near)"
+)
+def workload_sampled_table(spark, sf_dir):
+    """The shares of a sampled table are near the weights it is drawn with."""
+    n = 200_000
+    logical = F.col("Logical")
+    got = workload.sampled_table(spark, n).agg(
+        F.sum(F.when(~logical, 1).otherwise(0)).alias("false"), F.sum(F.when(logical, 1).otherwise(0)).alias("true"),
+        F.sum(F.when(logical.isNull(), 1).otherwise(0)).alias("missing"), F.countDistinct("Integer").alias("integers"),
+        F.countDistinct("Real").alias("reals"), F.countDistinct("Factor").alias("cities"),
+    )
+    wanted = {"false": (0.10 * n, 0.005 * n), "true": (0.85 * n, 0.005 * n), "missing": (0.05 * n, 0.005 * n), "integers": (100, 0.5), "reals": (20, 0.5), "cities": (8, 0.5)}
+    pairs = [x for k, (c, d) in wanted.items() for x in (F.lit(k), F.abs(F.col(k) - c) <= d)]
+    return got.select(F.explode(F.create_map(*pairs)).alias("share", "near"))
+
+
+# names, structure, snapshots, session, errors
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders")
+def second_names_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "table")
+    table_write(table(spark, sf_dir, "orders"), path, 60)
+    if table_metadata(spark, path).rows != metadata(spark, path).rows:
+        raise AssertionError("the two names differ")
+    return table_read(spark, path, ["o_orderkey", "o_custkey"])
+
+
+@query("SELECT column_index AS at, column_name AS name FROM duckdb_columns() WHERE table_name = 'orders'")
+def names_table(spark, sf_dir):
+    return spark.createDataFrame(list(enumerate(orders_ref(spark, sf_dir).names, 1)), "at int, name string")
+
+
+@query("SELECT count(*) AS n_row, any_value(k) AS n_col FROM nation, (SELECT count(*) AS k FROM duckdb_columns() WHERE table_name = 'nation')")
+def dim_of_rows_and_names(spark, sf_dir):
+    rows, names = TableRef(spark, stored(spark, sf_dir, "nation", ["n_nationkey"])).dimnames()
+    return rows.agg(F.count("*").alias("n_row")).withColumn("n_col", F.lit(len(names)).cast("long"))
+
+
+_SMALL = "(VALUES (1, 'a', 4.5::DOUBLE), (2, 'b', 5.5), (3, 'c', NULL)) AS t(x, y, z)"
+
+
+def small(spark: SparkSession) -> str:
+    return kept(spark, spark.createDataFrame([(1, "a", 4.5), (2, "b", 5.5), (3, "c", None)], "x int, y string, z double"))
+
+
+@query("SELECT * FROM (VALUES (1, ' $ x: integer <int>'), (2, ' $ y: character <string>'), (3, ' $ z: double <double>')) AS t(line, said)")
+def structure_lines(spark, sf_dir):
+    lines = TableRef(spark, small(spark)).structure().split("\n")[1:]
+    return spark.createDataFrame(list(enumerate(lines, 1)), "line int, said string")
+
+
+@query("SELECT * FROM (VALUES ('opened', 3), ('still', 3), ('refreshed', 5)) AS t(moment, n)")
+def snapshot_and_refresh(spark, sf_dir):
+    path = small(spark)
+    t = TableRef(spark, path)
+    seen = [("opened", len(t))]
+    write_table(spark.range(5), path)
+    seen += [("still", len(t)), ("refreshed", len(t.refresh()))]
+    return spark.createDataFrame(seen, "moment string, n long")
+
+
+@query(f"SELECT z, x FROM {_SMALL}")
+def select_columns_by_one_index(spark, sf_dir):
+    return TableRef(spark, small(spark)).select_columns([3, 1]).df
+
+
+@query(
+    "SELECT * FROM (VALUES ('x[j]', false), ('x[, j]', true), ('x[, j, drop = no]', false), ('x[i, j]', true), ('x[i, two]', false), "
+    "('x[i, ]', false), ('one column, x[i, ]', true)) AS t(selection, dropped)"
+)
+def drop_rule(spark, sf_dir):
+    t, one = TableRef(spark, small(spark)), TableRef(spark, kept(spark, spark.range(3)))
+    found = [
+        ("x[j]", t.select_columns("x")), ("x[, j]", t.select(None, "x")), ("x[, j, drop = no]", t.select(None, "x", drop=False)),
+        ("x[i, j]", t.select([1, 2], 2)), ("x[i, two]", t.select([1, 2], ["x", "y"])), ("x[i, ]", t.select([1])),
+        ("one column, x[i, ]", one.select([1])),
+    ]
+    return spark.createDataFrame([(k, s.dropped) for k, s in found], "selection string, dropped boolean")
+
+
+@query("SELECT o_custkey FROM orders")
+def one_column_by_position(spark, sf_dir):
+    return orders_ref(spark, sf_dir).column(2)
+
+
+@query("SELECT o_totalprice FROM orders")
+def one_column_by_name(spark, sf_dir):
+    return orders_ref(spark, sf_dir).col("o_totalprice")
+
+
+@query("SELECT 'n_nationkey' AS name, CAST(sum(hash_of) AS BIGINT) AS n FROM (SELECT 1 AS hash_of FROM nation) UNION ALL SELECT 'n_name', count(n_name) FROM nation UNION ALL SELECT 'n_regionkey', count(n_regionkey) FROM nation")
+def list_of_columns(spark, sf_dir):
+    """Every column by itself, as a list holds them."""
+    found = None
+    for name, column in TableRef(spark, stored(spark, sf_dir, "nation", ["n_nationkey"])).as_dict().items():
+        part = column.agg(F.count(name).alias("n")).select(F.lit(name).alias("name"), "n")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+@query("SELECT * FROM (VALUES ('before 3', true), ('before 5', true), ('option 6', true), ('changed later', true)) AS t(step, holds)")
+def threads_and_option(spark, sf_dir):
+    """Setting the parallelism returns the value before; a session's option is read once."""
+    before = threads(spark)
+    try:
+        steps = [("before 3", threads(spark, 3) == before), ("before 5", threads(spark, 5) == 3)]
+    finally:
+        threads(spark, before)
+    fresh = spark.newSession()
+    fresh.conf.set(OPTION, "6")
+    steps.append(("option 6", threads(fresh) == 6))
+    fresh.conf.set(OPTION, "2")
+    steps.append(("changed later", threads(fresh) == 6 and threads(spark) == before))
+    return spark.createDataFrame(steps, "step string, holds boolean")
+
+
+_ERRORS = {
+    "path is no text": "Please specify a correct path.",
+    "no data frame": "Please make sure 'x' is a data frame.",
+    "columns are no names": "Parameter 'columns' should be a character vector of column names.",
+    "from below 1": "Parameter 'from' should have a numerical value equal or larger than 1.",
+    "to is no number": "Parameter 'to' should have a numerical value larger than 1 (or NULL).",
+    "from past the end": "Row selection is out of range",
+    "old format": "Parameter old_format is deprecated; tables of that format can't be read.",
+    "unknown column": "Undefined columns: q",
+    "missing column index": "Subscript out of bounds.",
+    "column index too large": "Subscript out of bounds.",
+    "column index of zero": "Only positive column indexes supported.",
+    "no column": "Please use a length one integer or character vector to specify the column",
+    "index of three": "Recursive indexing is currently only supported up to level 1.",
+    "a pair of names": "Subscript out of bounds.",
+    "row outside": "Second index out of bounds.",
+    "index of another type": "Please use a length 1 integer or character vector to specify the column",
+    "invalid column": "Invalid column index 9",
+    "rows by text": "Row selection should be done using a numeric or logical vector",
+    "rows out of range": "Row selection out of range",
+    "level outside": "Parameter compress should be a value between 0 and 100.",
+    "fork flag": "Parameter reset_after_fork should be set to TRUE or FALSE",
+}
+
+
+@query(" UNION ALL ".join(f"""SELECT '{k}' AS trigger, '{v.replace("'", "''")}' AS message""" for k, v in _ERRORS.items()))
+def error_contract(spark, sf_dir):
+    """What each wrong call says."""
+    path = small(spark)
+    t, df = TableRef(spark, path), spark.range(1)
+    calls = {
+        "path is no text": lambda: write_table(df, 3),
+        "no data frame": lambda: write_table([1], path),
+        "columns are no names": lambda: read_table(spark, path, [1]),
+        "from below 1": lambda: read_table(spark, path, from_=0),
+        "to is no number": lambda: read_table(spark, path, to="a"),
+        "from past the end": lambda: read_table(spark, path, from_=9),
+        "old format": lambda: read_table(spark, path, old_format=True),
+        "unknown column": lambda: t["q"],
+        "missing column index": lambda: t[[1, None]],
+        "column index too large": lambda: t[4],
+        "column index of zero": lambda: t[0],
+        "no column": lambda: t.column([]),
+        "index of three": lambda: t.column([1, 2, 3]),
+        "a pair of names": lambda: t.column(["x", "y"]),
+        "row outside": lambda: t.column([1, 9]),
+        "index of another type": lambda: t.column(2.5j),
+        "invalid column": lambda: t.column(9),
+        "rows by text": lambda: t[["a"], :],
+        "rows out of range": lambda: t[[9], :],
+        "level outside": lambda: write_table(df, path, compress=101),
+        "fork flag": lambda: threads(spark, reset_after_fork="yes"),
+    }
+    said = []
+    for trigger, call in calls.items():
+        try:
+            call()
+        except (ValueError, TypeError, LookupError) as e:
+            said.append((trigger, str(e.args[0])))
+    return spark.createDataFrame(said, "trigger string, message string")
+
+
+@query(
+    "SELECT * FROM (VALUES ('nothing there', 'Error opening table for reading'), ('another folder', 'File header information does not contain "
+    "the table format marker'), ('plain Parquet', 'File header information does not contain the table format marker')) AS t(place, message)"
+)
+def format_marker(spark, sf_dir):
+    """What opening a place that holds no table says, without the place itself."""
+    plain, deep = scratch_path(spark, "plain"), scratch_path(spark, "deep")
+    spark.range(3).write.parquet(plain)
+    spark.range(3).write.parquet(f"{deep}/rows")
+    said = []
+    for place, path in {"nothing there": scratch_path(spark, "none"), "another folder": deep, "plain Parquet": plain}.items():
+        try:
+            read_table(spark, path)
+        except (OSError, ValueError) as e:
+            said.append((place, str(e).split(": ")[0]))
+    return spark.createDataFrame(said, "place string, message string")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The flagship: two columns of a row range of a stored table."""
     return read_row_range_columns(spark, "/root/testdata/sf0.001")

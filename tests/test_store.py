@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,7 +49,7 @@ def test_levels_choose_codecs(spark, path):
     assert codec_options(0) == {"compression": "uncompressed"}
     assert codec_options(50.9)["compression"] == "lz4_raw"
     assert codec_options(51)["parquet.compression.codec.zstd.level"] == "1"
-    assert codec_options(100)["parquet.compression.codec.zstd.level"] == "19"
+    assert codec_options(100)["parquet.compression.codec.zstd.level"] == "12"
     for bad in (-1, 101, "40", True):
         with pytest.raises(ValueError):
             codec_options(bad)
@@ -159,6 +160,53 @@ def test_a_failed_write_leaves_the_old_table(spark, path, tmp_path):
     assert [p.name for p in tmp_path.iterdir()] == ["table"]
 
 
+class Folders:
+    """A file system whose renames fail or throw when they are told to."""
+
+    def __init__(self, fs, fail, throw):
+        self.fs, self.fail, self.throw, self.n = fs, fail, throw, 0
+
+    def rename(self, a, b):
+        self.n += 1
+        if self.n in self.fail:
+            if self.throw:
+                return self.fs.rename(self.fs.getUri(), b)  # no such method: an error of the JVM
+            return False
+        return self.fs.rename(a, b)
+
+    def __getattr__(self, name):
+        return getattr(self.fs, name)
+
+
+@pytest.mark.parametrize("throw", [False, True])
+@pytest.mark.parametrize("fail", [{1}, {2}, {2, 3}])
+def test_a_failed_rename_loses_no_table(spark, path, tmp_path, monkeypatch, fail, throw):
+    from py4j.protocol import Py4JError
+
+    from rowquarry.sources import store
+
+    write_table(spark.range(10), path)
+    folders = []
+
+    def hadoop_path(spark, at):
+        fs, found = real(spark, at)
+        folders[:] = folders or [Folders(fs, fail, throw)]
+        return folders[0], found
+
+    real = store.hadoop_path
+    monkeypatch.setattr(store, "hadoop_path", hadoop_path)
+    monkeypatch.setattr(store, "Py4JJavaError", Py4JError)
+    with pytest.raises(OSError, match="for writing") as e:
+        write_table(spark.range(5), path)
+    monkeypatch.undo()
+    if 3 in fail:  # neither could take the place: both are there, and the error says where
+        old, new = re.search(r"before is (\S+), the new one (\S+)", str(e.value)).groups()
+        assert [read_table(spark, p).count() for p in (old, new)] == [10, 5]
+    else:
+        assert read_table(spark, path).count() == 10
+        assert [p.name for p in tmp_path.iterdir()] == ["table"]
+
+
 def test_empty_tables(spark, path):
     df = frame(spark, 30).where("false")
     write_table(df, path)
@@ -310,6 +358,17 @@ def test_very_many_levels_live_in_a_table(spark, path):
     assert TableRef(spark, f"{path}2").levels("f").count() == n
 
 
+def test_many_inline_levels_are_looked_up_by_a_hash(spark, path):
+    from rowquarry.functions import factors
+
+    names = [f"level {k % 7}{k}" for k in range(700)] + ["é", ""]
+    df = spark.createDataFrame([(x,) for x in [*names[::-1], "none of them", None]], "f string")
+    got = df.select("f", factors.code_of(F.col("f"), names).alias("code")).collect()
+    assert {r.f: r.code for r in got} == {x: k for k, x in enumerate(names, 1)} | {"none of them": None, None: None}
+    few = df.select("f", factors.code_of(F.col("f"), names[:50]).alias("code")).where("code is not null").collect()
+    assert {r.f: r.code for r in few} == {x: k for k, x in enumerate(names[:50], 1)}
+
+
 def test_missing_codes_and_missing_levels_differ(spark, path):
     df = spark.createDataFrame([("abc",), ("def",), (None,), ("other",)], "x string").coalesce(1)
     plain, known = factor(df, "x", ["abc", "def"]), factor(df, "x", ["abc", "def"], na_level=True)
