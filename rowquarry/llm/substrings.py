@@ -130,24 +130,25 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
 
-#: What a block knows of a fingerprint: one of its documents has it; several have it, this row
-#: stands for them; several have it.
-ALONE, STANDS, STOOD_FOR = 0, 1, 2
+#: Columns of a run: a fingerprint, the first document of a block that has it, and the block's others.
+COLUMNS = "fp long, id long, others array<long>"
 
 
 def fingerprints(rows: DataFrame) -> DataFrame:
-    """(fp long, id long, state byte), once per document and fingerprint; blocks are sorted by ``fp``."""
+    """One row for each fingerprint of a block of documents; ``others`` is null if one document has it."""
 
     def block(fps: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
         fp, owner = np.concatenate(fps), np.concatenate(owners)
         order = np.lexsort((owner, fp))
         fp, owner = fp[order], owner[order]
+        if len(fp):  # rows that repeat an id
+            new = np.concatenate([[True], (fp[1:] != fp[:-1]) | (owner[1:] != owner[:-1])])
+            fp, owner = fp[new], owner[new]
         first = np.concatenate([[True], fp[1:] != fp[:-1]]) if len(fp) else np.empty(0, bool)
-        new = first | np.concatenate([[True], owner[1:] != owner[:-1]]) if len(fp) else first
-        fp, owner, first = fp[new], owner[new], first[new]  # rows that repeat an id
-        last = np.concatenate([first[1:], [True]]) if len(fp) else first
-        state = np.where(first, np.where(last, ALONE, STANDS), STOOD_FOR).astype(np.int8)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (fp, owner, state)], ["fp", "id", "state"])
+        more = np.diff(np.append(np.nonzero(first)[0], len(fp))) - 1
+        offsets = pa.array(np.concatenate([[0], np.cumsum(more)]).astype(np.int32), mask=np.append(more == 0, False))
+        others = pa.ListArray.from_arrays(offsets, pa.array(owner[~first]))
+        return pa.RecordBatch.from_arrays([pa.array(fp[first]), pa.array(owner[first]), others], ["fp", "id", "others"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = word_hashes()
@@ -163,7 +164,7 @@ def fingerprints(rows: DataFrame) -> DataFrame:
         if fps:
             yield block(fps, owners)
 
-    return rows.where("id is not null").mapInArrow(run, "fp long, id long, state byte")
+    return rows.where("id is not null").mapInArrow(run, COLUMNS)
 
 
 def _spans(flags: np.ndarray) -> np.ndarray:
@@ -175,6 +176,12 @@ def _spans(flags: np.ndarray) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
+def _members(rows: DataFrame) -> DataFrame:
+    """(id, fp) of every document in the rows of a run."""
+    others = F.coalesce("others", F.array().cast("array<long>"))
+    return rows.select(F.explode(F.concat(F.array("id"), others)).alias("id"), "fp")
+
+
 class SubstringIndex:
     """Fingerprints of all documents seen, in immutable bucketed and sorted runs under one path.
 
@@ -182,7 +189,6 @@ class SubstringIndex:
     read as tables at their own path, so an index can be opened by another session.
     """
 
-    COLUMNS = "fp long, id long, state byte"
     KEEP_ORDER = "spark.sql.legacy.bucketedTableScan.outputOrdering"
     ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 
@@ -211,7 +217,7 @@ class SubstringIndex:
     def open(self, run: str) -> DataFrame:
         name = self._name(run)
         self.spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {name} ({self.COLUMNS}) USING parquet "
+            f"CREATE TABLE IF NOT EXISTS {name} ({COLUMNS}) USING parquet "
             f"CLUSTERED BY (fp) SORTED BY (fp, id) INTO {self.buckets} BUCKETS LOCATION '{run}'"
         )
         return self.spark.table(name)
@@ -222,7 +228,7 @@ class SubstringIndex:
             self.spark.sql(f"DROP TABLE IF EXISTS {self._name(run)}")
 
     def read(self) -> DataFrame:
-        found = self.spark.createDataFrame([], self.COLUMNS)
+        found = self.spark.createDataFrame([], COLUMNS)
         for run in self.runs():
             found = found.union(self.open(run))
         return found
@@ -248,9 +254,11 @@ class SubstringIndex:
 
     def merged(self, one: str, other: str) -> DataFrame:
         """Two runs merged bucket by bucket; no shuffle and no sort but within a bucket."""
-        a, b = (self.open(r).select("fp", "id") for r in (one, other))
+        a, b = self.open(one), self.open(other).withColumnRenamed("others", "more")
         both = a.hint("merge").join(b, ["fp", "id"], "full_outer")
-        return both.withColumn("state", F.lit(ALONE).cast("byte"))
+        # a document that was fed twice may have others of two blocks
+        others = F.when(F.col("others").isNotNull() & F.col("more").isNotNull(), F.array_union("others", "more"))
+        return both.select("fp", "id", F.coalesce(others, "others", "more").alias("others"))
 
     def compact(self) -> None:
         """Merge all runs into one, two at a time; the old ones go when the new one is whole."""
@@ -297,16 +305,19 @@ class SubstringIndex:
 
     def within(self, run: DataFrame) -> DataFrame:
         """(id, fp): fingerprints that another document of the run has too."""
-        known = run.where(F.col("state") != ALONE).select("id", "fp")
-        often = run.where(F.col("state") != STOOD_FOR).groupBy("fp").agg(F.count("*").alias("n")).where("n > 1")
-        alone = run.where(F.col("state") == ALONE).hint("merge").join(often, "fp", "left_semi").select("id", "fp")
-        return known.unionByName(alone)
+        often = run.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1")
+        alone = run.where("others is null").hint("merge").join(often, "fp", "left_semi").select("id", "fp")
+        return _members(run.where("others is not null")).unionByName(alone)
 
     def across(self, run: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(id, fp): fingerprints that a new run and an older one share, with the documents of either."""
-        one = run.hint("merge").join(held.select("fp"), "fp", "left_semi").select("id", "fp")
-        other = held.hint("merge").join(run.select("fp"), "fp", "left_semi").select("id", "fp")
-        return one, other
+        """(id, fp): fingerprints that a new run and an older one share, with the documents of either.
+
+        Of the new run those that ``within`` does not give.
+        """
+        alone = run.where("others is null")
+        one = alone.hint("merge").join(held.select("fp"), "fp", "left_semi").select("id", "fp")
+        other = held.hint("merge").join(run.select("fp"), "fp", "left_semi")
+        return one, _members(other)
 
     def chosen(self, history: DataFrame, needed: DataFrame) -> DataFrame:
         """The documents of history that ``needed`` names, by a list as long as it is short."""
