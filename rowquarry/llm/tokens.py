@@ -84,15 +84,11 @@ def _unassigned(char: str) -> bool:
     return unicodedata.category(char) == "Cn"
 
 
-def pretokens(text: str) -> Iterator[list[str]]:
-    """The pre-tokens of each stretch of a text without unassigned characters."""
-    cut = ANY_PRETOKEN.findall if SLOW.search(text) else PRETOKEN.findall
-    return map(cut, spans(text))
-
-
-def uncertain(text: str) -> bool:
-    """Whether a character of the text has no class that every edition of Unicode agrees on."""
-    return bool(SLOW.search(text)) and any(map(_unassigned, set(text)))
+def cutter(text: str):
+    """What cuts the text into pre-tokens; None if a character of it has no class that all editions of Unicode agree on."""
+    if not SLOW.search(text):
+        return PRETOKEN.findall
+    return None if any(map(_unassigned, set(text))) else ANY_PRETOKEN.findall
 
 
 def _pruned(counts: Counter, size: int) -> Counter:
@@ -118,10 +114,10 @@ def frequent_pretokens(docs: DataFrame, special: list[str], size: int = TABLE) -
         counts: Counter = Counter()
         for b in slices(batches):
             for text in texts(b, "text"):
-                if uncertain(text):
+                if not (cut := cutter(text)):
                     continue
-                for part in pretokens(text):
-                    counts.update(part)
+                for part in spans(text):
+                    counts.update(cut(part))
                     if len(counts) > 8 * size:
                         counts = _pruned(counts, size)
         if counts:
@@ -166,17 +162,17 @@ class Lengths:
                     self.cache[m] = len(self.tokenizer.encode(m, add_special_tokens=False).ids)
 
     def count(self, text: str) -> int:
-        if uncertain(text):
+        if not (cut := cutter(text)):
             return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
         total, at = 0, 0
         for hit in [*self.special.finditer(text), None]:
-            total += self._plain(text[at : hit.start() if hit else len(text)]) + (hit is not None)
+            total += self._plain(text[at : hit.start() if hit else len(text)], cut) + (hit is not None)
             at = hit.end() if hit else at
         return total
 
-    def _plain(self, text: str) -> int:
+    def _plain(self, text: str, cut) -> int:
         total = 0
-        for part in pretokens(text):
+        for part in map(cut, spans(text)):
             if len(self.cache) > CACHE + len(self.table):
                 self.cache = dict(self.table)
             lengths = list(map(self.cache.get, part))

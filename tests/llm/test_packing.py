@@ -1,5 +1,6 @@
 """Packing: ids as the tokenizer library gives them, an exact round trip, and few sequences."""
 
+import random
 import zlib
 
 import numpy as np
@@ -8,8 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from rowquarry.llm import packing
 from rowquarry.llm.packing import op8_packing, pack, packed
 
+from .test_tokens import characters
+
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string"
 
@@ -86,3 +90,29 @@ def test_plans_use_every_piece_once_and_fill_gaps():
         sequences = sum(k for _, k in plan)
         assert sequences <= 1.01 * -(-int(lengths.sum()) // 256) + 1
     assert pack({}, 256) == []
+
+
+def test_all_scripts_and_stretches_as_the_library_gives_them(monkeypatch):
+    r, pool, tool = random.Random(6), characters(), Tokenizer.from_file(PATH)
+    encoder = packing.word_ids(PATH)
+    assert packing.word_ids(PATH) is encoder
+    texts = ["".join(r.choices(pool, k=r.randrange(1, 90))) for _ in range(1500)]
+    for span, cache in ((packing.SPAN, packing.CACHE), (20, 50)):
+        monkeypatch.setattr(packing, "SPAN", span)
+        monkeypatch.setattr(packing, "CACHE", cache)
+        for text, ids in zip(texts, encoder.ids(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == tool.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def test_pair_sums_by_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        have = np.zeros(101, np.int64)
+        have[rng.integers(1, 101, 12)] = rng.integers(1, 6, 12)
+        lengths = np.nonzero(have)[0]
+        pairs = packing.PairSums(lengths, 100)
+        have[rng.choice(lengths, 3)] = 0  # used up since
+        for total in range(101):
+            sums = {(int(a), int(b)) for a in lengths for b in lengths if a <= b and a + b == total and have[a] and have[b] and (a < b or have[a] > 1)}
+            found = pairs.find(have, total)
+            assert (found in sums) if sums else found is None

@@ -1,5 +1,7 @@
 """Token counts against the tokenizer library, text by text."""
 
+import random
+
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -55,3 +57,29 @@ def test_long_texts_in_stretches_and_a_small_cache(spark, monkeypatch):
 def test_empty_missing_and_repeated(spark, rows):
     got = token_counts(spark.createDataFrame(rows, SCHEMA), PATH).collect()
     assert sorted(r.n_tokens for r in got) == sorted(library(t) for _, t in rows)
+
+
+def characters():
+    """Of many scripts, marks, numbers, spaces and emoji, some that Unicode does not assign, and plain ones more often."""
+    parts = [range(0x600), range(0x900, 0x980), range(0xE00, 0xE60), range(0x2000, 0x2100), range(0x3040, 0x30A0), range(0x4E00, 0x4E40), range(0x1F600, 0x1F640)]
+    odd = [0x200D, 0xFE0F, 0x3000, 0x1680, 0x2028, 0x1D7D8, 0x378, 0x10FFFF, 0x1C89]
+    return [chr(c) for part in parts for c in part] + [chr(c) for c in odd] * 5 + [" "] * 300 + list("abc'stre\n") * 30
+
+
+def test_all_scripts_as_the_library_counts_them():
+    r, pool, tool, counter = random.Random(4), characters(), Tokenizer.from_file(PATH), tokens.Lengths(PATH, {})
+    for _ in range(2500):
+        text = "".join(r.choices(pool, k=r.randrange(1, 60)))
+        assert counter.count(text) == len(tool.encode(text, add_special_tokens=False).ids), ascii(text)
+
+
+def test_only_unassigned_characters_leave_the_table():
+    assert all(map(tokens.cutter, ["Привет, мир", "東京 は 🙂", "naïve", "สวัสดี", ""]))
+    assert not tokens.cutter("a\u0378b") and not tokens.cutter("\U0010ffff")
+
+
+def test_the_cache_outlives_a_task():
+    one = tokens.lengths_of(PATH, {"a": 1})
+    one.count("some words here")
+    two = tokens.lengths_of(PATH, {"b": 1})
+    assert one is two and {"a", "b", " words"} <= two.cache.keys()
