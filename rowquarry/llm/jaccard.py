@@ -3,6 +3,8 @@
 MinHash bands find candidates: texts with equal minima in all ``ROWS`` of one of ``BANDS`` bands. A
 pair of similarity 0.8 meets in no band with probability 7e-6, a closer pair with less. Every pair
 of candidates that is not yet connected is compared on the whole sets, so no link is an estimate.
+Texts of one band key are held ``HOLD`` at a time: a larger key is dealt out in blocks, and each block
+also meets the texts of the blocks after it.
 
 Defined results: words are those of the SimHash fingerprint; a text of fewer words than a shingle is
 one shingle; a null text is an empty one and all empty texts are copies.
@@ -23,6 +25,8 @@ SHINGLE_WORDS = 5
 LEAST = 0.8
 BANDS, ROWS = 30, 5
 SEED = 42
+#: Texts of a band key that a task holds.
+HOLD = 1_024
 #: Shingles hashed at once.
 BLOCK = 1 << 10
 
@@ -82,48 +86,78 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(found, pa.binary())], ["node", "shingles"])
 
 
-def _stars(nodes: list[int], sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
-    """(node, first node of its group) of all groups linked by a similarity of ``LEAST`` or more.
-
-    Compares each set with all later ones that are not in its group yet, at once.
-    """
-    size = np.array(list(map(len, sets)))
-    label = np.arange(len(sets))
-    for i in range(len(sets) - 1):
-        low, high = np.minimum(size, size[i]), np.maximum(size, size[i])
-        rest = i + 1 + np.nonzero((label != label[i])[i + 1 :] & (low >= LEAST * high)[i + 1 :])[0]
-        if not len(rest):
-            continue
-        flat = np.concatenate([sets[j] for j in rest])
-        place = np.minimum(np.searchsorted(sets[i], flat), size[i] - 1)
-        same = np.add.reduceat(sets[i][place] == flat, np.concatenate([[0], np.cumsum(size[rest])[:-1]]), dtype=np.int64)
-        near = rest[same >= LEAST * (size[i] + size[rest] - same) - 1e-9]
-        joined = np.unique(label[near])
-        if len(joined):
-            group = np.append(joined, label[i])
-            label[np.isin(label, group)] = group.min()
-    own = np.nonzero(label != np.arange(len(sets)))[0]
-    return [nodes[j] for j in own], [nodes[label[j]] for j in own]
+class Held:
+    """Shingle sets of a block, and the groups that a similarity of ``LEAST`` or more links."""
+
+    def __init__(self):
+        self.nodes: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.groups: list[np.ndarray] | None = None
+
+    def near(self, own: np.ndarray, among: np.ndarray) -> np.ndarray:
+        """Those places ``among`` the held ones whose set is similar to ``own``."""
+        size = self.size[among]
+        among = among[np.minimum(size, len(own)) >= LEAST * np.maximum(size, len(own))]
+        if not len(among):
+            return among
+        size = self.size[among]
+        flat = np.concatenate([self.sets[j] for j in among])
+        place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+        same = np.add.reduceat(own[place] == flat, np.concatenate([[0], np.cumsum(size)[:-1]]), dtype=np.int64)
+        return among[same >= LEAST * (len(own) + size - same) - 1e-9]
+
+    def close(self) -> list[tuple[int, int]]:
+        """Compare the held sets with each other: (node, first node of its group).
+
+        Each set meets all later ones that are not in its group yet, at once.
+        """
+        if self.groups is not None:
+            return []
+        self.size = np.array(list(map(len, self.sets)))
+        label = np.arange(len(self.sets))
+        for i in range(len(self.sets) - 1):
+            rest = i + 1 + np.nonzero(label[i + 1 :] != label[i])[0]
+            joined = np.unique(label[self.near(self.sets[i], rest)])
+            if len(joined):
+                group = np.append(joined, label[i])
+                label[np.isin(label, group)] = group.min()
+        self.groups = [np.nonzero(label == k)[0] for k in np.unique(label)]
+        return [(self.nodes[j], self.nodes[g[0]]) for g in self.groups for j in g[1:].tolist()]
+
+    def meet(self, node: int, own: np.ndarray) -> list[tuple[int, int]]:
+        """Links of a text to the groups that hold a similar one; of each group as many are compared as it takes."""
+        found = []
+        for group in self.groups or ():
+            at, step = 0, 4
+            while at < len(group):
+                if len(self.near(own, group[at : at + step])):
+                    found.append((node, self.nodes[group[0]]))
+                    break
+                at, step = at + step, 2 * step
+        return found
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key; the rows of one key are held."""
-    key, nodes, sets = None, [], []
+    """Rows come sorted by (key, block, guest): a block's own texts are held, then its guests stream past."""
+    now, held = None, Held()
+    for batch in batches:
+        links: list[tuple[int, int]] = []
+        columns = (batch.column(c).to_pylist() for c in ("key", "block", "guest", "node", "shingles"))
+        for key, block, guest, node, own in zip(*columns, strict=True):
+            if (key, block) != now:
+                links += held.close()
+                now, held = (key, block), Held()
+            if guest:
+                links += held.close()
+                links += held.meet(node, np.frombuffer(own, np.uint64))
+            else:
+                held.nodes.append(node), held.sets.append(np.frombuffer(own, np.uint64))
+        yield _links(links)
+    yield _links(held.close())
 
-    def out():
-        a, b = _stars(nodes, sets)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    for batch in batches:
-        for k, node, own in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "shingles")), strict=True):
-            if k != key and nodes:
-                yield out()
-                nodes, sets = [], []
-            key = k
-            nodes.append(node)
-            sets.append(np.frombuffer(own, np.uint64))
-    if nodes:
-        yield out()
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def similar(rows: DataFrame) -> DataFrame:
@@ -135,9 +169,14 @@ def similar(rows: DataFrame) -> DataFrame:
     met = keyed.groupBy("key").agg(
         F.count("*").alias("n"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("mark")
     )
-    once = met.where("n > 1").groupBy("n", "least", "mark").agg(F.min("key").alias("key")).select("key")
-    members = written(keyed.join(once, "key").select("key", "node"), "members")
+    once = met.where("n > 1").groupBy("n", "least", "mark").agg(F.min("key").alias("key")).select("key", "n")
+    members = written(keyed.join(once, "key").select("key", "node", "n"), "members")
     wanted = rows.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     sets = wanted.select("node", "text").mapInArrow(_sets, "node long, shingles binary")
-    runs = members.join(sets, "node").select("key", "node", "shingles")
-    return runs.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_verified, "a long, b long")
+    blocks = F.ceil(F.col("n") / HOLD).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    # each text is held by its own block and a guest of those before it
+    to = F.transform(F.sequence(F.lit(0), own), lambda k: F.struct(k.alias("block"), (k != own).alias("guest")))
+    runs = members.join(sets, "node").select("key", "node", "shingles", F.explode(to).alias("to"))
+    runs = runs.select("key", "node", "shingles", "to.*").repartition("key", "block")
+    return runs.sortWithinPartitions("key", "block", "guest", "node").mapInArrow(_verified, "a long, b long")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rowquarry.llm import decontaminate, quality
+from rowquarry.llm.graph import components
 from rowquarry.llm.secrets import scan
 from rowquarry.llm.simhash import fingerprint
 
@@ -118,6 +119,32 @@ def test_stages_on_odd_rows(spark, sf):
         assert stage(spark, empty, sf).isEmpty()
 
 
+def test_similar_texts_of_large_keys_by_all_pairs(spark, monkeypatch):
+    from rowquarry.llm import jaccard
+
+    rng = random.Random(3)
+    texts = []
+    for _ in range(6):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+        for _ in range(25):
+            other = list(base)
+            for at in rng.sample(range(80), rng.randrange(3)):
+                other[at] = f"w{rng.randrange(10**6)}"
+            texts.append(" ".join(other))
+    texts = sorted(set(texts))
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string").repartition(3)
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for x in range(len(texts)):
+        for y in range(x):
+            if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]):
+                a, b = root[x], root[y]
+                root = [min(a, b) if c in (a, b) else c for c in root]
+    for hold in (1024, 5):
+        monkeypatch.setattr(jaccard, "HOLD", hold)
+        got = components(jaccard.similar(rows)).collect()
+        assert {r.node: r.component for r in got} == {k: c for k, c in enumerate(root) if k != c}
+
+
 def test_near_copies_of_similarity_from_0_8(spark, sf):
     rng = random.Random(7)
     shingles = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
