@@ -173,7 +173,7 @@ def near_duplicates(
     if max_bits > MAX_BITS:
         raise ValueError(f"three segments find differences of at most {MAX_BITS + 1} bits; {MAX_BITS} are supported")
     fps = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("id").alias("rep"))
+    distinct = written(fps.groupBy("fp").agg(F.min("id").alias("rep")), "distinct")
     keyed = distinct.select(F.explode(variant_keys(F.col("fp"))).alias("key"), "fp")
     runs = keyed.repartition("key").sortWithinPartitions("key", "fp")
     found = components(runs.mapInArrow(_linker(max_bits), "a long, b long"))
@@ -184,6 +184,8 @@ def near_duplicates(
     least = linked.groupBy("root").agg(F.min("rep").alias("component_id")).select("*", copies())
     linked = linked.select("fp", "root", salted("fp")).join(least, ["root", "salt"]).select("fp", "component_id")
     whole = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    # written, so that the last join is one that Spark may split where copies share a fingerprint
+    whole = written(whole, "groups")
     return fps.join(whole, "fp").select("id", "fp", "component_id")
 
 
