@@ -27,6 +27,8 @@ BANDS, ROWS = 30, 5
 SEED = 42
 #: Texts of a band key that a task holds.
 HOLD = 1_024
+#: Shingles of held sets that are compared at once.
+AT_ONCE = 1 << 18
 #: Shingles hashed at once.
 BLOCK = 1 << 10
 
@@ -101,10 +103,17 @@ class Held:
         if not len(among):
             return among
         size = self.size[among]
+        part = np.cumsum(size) // AT_ONCE  # stretches of about as many shingles, so that long texts don't pile up
+        found = [self._same(own, x) for x in np.split(among, np.nonzero(np.diff(part))[0] + 1)]
+        same = np.concatenate(found)
+        return among[same >= LEAST * (len(own) + size - same) - 1e-9]
+
+    def _same(self, own: np.ndarray, among: np.ndarray) -> np.ndarray:
+        """Shingles that each of the sets has in common with ``own``."""
         flat = np.concatenate([self.sets[j] for j in among])
         place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-        same = np.add.reduceat(own[place] == flat, np.concatenate([[0], np.cumsum(size)[:-1]]), dtype=np.int64)
-        return among[same >= LEAST * (len(own) + size - same) - 1e-9]
+        edge = np.concatenate([[0], np.cumsum(self.size[among])[:-1]])
+        return np.add.reduceat(own[place] == flat, edge, dtype=np.int64)
 
     def close(self) -> list[tuple[int, int]]:
         """Compare the held sets with each other: (node, first node of its group).

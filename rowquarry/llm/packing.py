@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,8 @@ from .tokens import SLOW
 
 CAPACITY = 2048
 END_ID = 0
-#: Entries of a worker's cache of word ids before it is emptied.
-CACHE = 600_000
+#: Entries of a worker's cache of word ids; beyond it only the first ``KEEP`` stay: what comes first is frequent.
+CACHE, KEEP = 600_000, 100_000
 #: Characters of texts that are encoded at once; a longer text is cut at white space.
 SPAN = 1 << 20
 #: The white space that str.split takes and the tokenizer doesn't.
@@ -59,14 +59,18 @@ class WordIds:
     other and cached.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.cache: dict[str, bytes] = {}
         self.mark = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in MARKS}
         (self.separator,) = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
 
+    def trim(self, most: int) -> None:
+        if len(self.cache) > most:
+            self.cache = dict(islice(self.cache.items(), min(KEEP, most)))
+
     def words(self, text: str) -> list[str]:
         if not SLOW.search(text) and "İ" not in text:
             text = text.lower()  # as the tokenizer does; fewer words to encode
@@ -96,8 +100,7 @@ class WordIds:
         try:
             return [b"".join(map(self.cache.__getitem__, words)) for words in cut]
         except KeyError:
-            if len(self.cache) > CACHE:
-                self.cache = {}
+            self.trim(self.most)
             self.encode(list(set(chain.from_iterable(cut)).difference(self.cache)))
         return [b"".join(map(self.cache.__getitem__, words)) for words in cut]
 
@@ -133,14 +136,18 @@ def word_ids(path: str) -> WordIds:
     return _kept[path]
 
 
-def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity: int) -> DataFrame:
-    """One row per piece, with the task that made it and its number among the task's pieces of that length."""
+def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity: int, cache: int = CACHE) -> DataFrame:
+    """One row per piece, with the task that made it and its number among the task's pieces of that length.
+
+    A smaller ``cache`` than ``CACHE`` is for workers that share their memory with other steps: they keep
+    nothing between tasks.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
-        encoder = word_ids(tokenizer)
+        encoder = word_ids(tokenizer) if cache >= CACHE else WordIds(tokenizer, cache)
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in slices(batches):
             row, number, start, length, crc, nth = [], [], [], [], [], []
@@ -293,13 +300,13 @@ def placed(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def packed(
-    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY
+    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, cache: int = CACHE
 ) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every row.
 
     The pieces are written once, so that their numbers within a task hold for all that follows.
     """
-    found = written(pieces(docs, tokenizer, id_col, text_col, capacity), "pieces")
+    found = written(pieces(docs, tokenizer, id_col, text_col, capacity, cache), "pieces")
     return placed(found, capacity).select("id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

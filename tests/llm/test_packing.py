@@ -99,7 +99,8 @@ def test_all_scripts_and_stretches_as_the_library_gives_them(monkeypatch):
     texts = ["".join(r.choices(pool, k=r.randrange(1, 90))) for _ in range(1500)]
     for span, cache in ((packing.SPAN, packing.CACHE), (20, 50)):
         monkeypatch.setattr(packing, "SPAN", span)
-        monkeypatch.setattr(packing, "CACHE", cache)
+        monkeypatch.setattr(encoder, "most", cache)
+        monkeypatch.setattr(packing, "KEEP", min(cache, 10))
         for text, ids in zip(texts, encoder.ids(texts), strict=True):
             assert np.frombuffer(ids, "<u4").tolist() == tool.encode(text, add_special_tokens=False).ids, ascii(text)
 

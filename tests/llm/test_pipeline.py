@@ -139,8 +139,9 @@ def test_similar_texts_of_large_keys_by_all_pairs(spark, monkeypatch):
             if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]):
                 a, b = root[x], root[y]
                 root = [min(a, b) if c in (a, b) else c for c in root]
-    for hold in (1024, 5):
+    for hold, at_once in ((1024, 1 << 18), (5, 200)):
         monkeypatch.setattr(jaccard, "HOLD", hold)
+        monkeypatch.setattr(jaccard, "AT_ONCE", at_once)
         got = components(jaccard.similar(rows)).collect()
         assert {r.node: r.component for r in got} == {k: c for k, c in enumerate(root) if k != c}
 
