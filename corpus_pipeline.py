@@ -16,6 +16,10 @@ from rowquarry.llm.common import documents, shared_path, unused, written
 from rowquarry.llm.graph import components
 
 
+#: Entries of the packing workers' caches: executors hold the workers of other stages as well.
+CACHE = 150_000
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the positive-unlabelled classifier does not reject."""
     return quality.kept(docs, quality.train(docs, documents(spark, sf_dir, "labels")))
@@ -68,7 +72,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, each with its sequence and place."""
     import public_tokenizers
 
-    found = packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+    found = packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), cache=CACHE)
     return found.withColumnRenamed("id", "doc_id")
 
 
