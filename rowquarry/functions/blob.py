@@ -11,18 +11,19 @@ Container of a compressed value (integers big-endian, positions from 1):
     31-34  number of blocks
     35-    length of each compressed block (4 bytes each), then the blocks
 
-Hashing, checks and errors are native expressions; only the codec itself runs in Arrow batches.
+Hashing, checks and errors are native expressions; only the codec itself runs in Arrow batches. Its
+worker holds a batch of ``PIECE_BYTES``, one value and a piece of as many bytes of results, however
+long the values are and however many there are.
 The payload's hash is always stored and checked, as a codec may decode a damaged block to wrong
 bytes without noticing; the flag only chooses the message.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 MARKER = b"RQB1"
@@ -30,6 +31,9 @@ CODECS = {"LZ4": 1, "ZSTD": 2}
 #: Blocks hold at least so many bytes, and a value has about so many blocks at most.
 BLOCK_BYTES = 16_384
 BLOCKS = 48
+#: Bytes that a worker gets at once, and those of results it holds before it hands them on; a value is never split.
+PIECE_BYTES = 4 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 HASH_SEED = 42
 #: ZSTD's highest level; the scale from 0 to 100 is spread over the levels from 1 on.
 _ZSTD_TOP = 19
@@ -49,6 +53,27 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _bound_batches() -> None:
+    """The session sends Python code at most ``PIECE_BYTES`` at once, or what it was set to if that is less."""
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > PIECE_BYTES:
+        spark.conf.set(_BATCH_BYTES, str(PIECE_BYTES))
+
+
+def _in_pieces(batches: Iterable[pa.Array], one: Callable[[bytes], bytes]) -> Iterator[pa.Array]:
+    """``one`` of every value, null for null; neither a batch's values nor its results are ever held all at once."""
+    for batch in batches:
+        done, held = [], 0
+        for value in batch:
+            done.append(one(value.as_py()) if value.is_valid else None)
+            held += len(done[-1] or b"")
+            if held >= PIECE_BYTES:
+                yield pa.array(done, pa.binary())
+                done, held = [], 0
+        if done:
+            yield pa.array(done, pa.binary())
+
+
 def _hash_bytes(c: Column) -> Column:
     return F.unhex(F.lpad(F.hex(F.xxhash64(c)), 16, "0"))
 
@@ -64,21 +89,19 @@ def compress(x: Column | str, compressor: str = "ZSTD", compression: int = 0, ha
     if isinstance(compression, bool) or not isinstance(compression, (int, float)) or not 0 <= compression <= 100:
         raise ValueError("Parameter compression should be a numeric value in the range 0 to 100")
     codec, level = CODECS[compressor], int(compression)
+    _bound_batches()
 
-    @F.pandas_udf("binary")
-    def body(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def body(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tool = _codec(compressor, level)
 
         def one(value):
-            if value is None:
-                return None
             size = block_size(len(value))
             blocks = [tool.compress(value[i : i + size], asbytes=True) for i in range(0, len(value), size)]
             head = bytes([codec, int(hash)]) + len(value).to_bytes(8, "big") + len(blocks).to_bytes(4, "big")
             return head + b"".join(len(b).to_bytes(4, "big") for b in blocks) + b"".join(blocks)
 
-        for s in batches:
-            yield s.map(one)
+        yield from _in_pieces(batches, one)
 
     raw = _col(x).cast("binary")
     raw = F.when(F.length(raw) == 0, F.raise_error(F.lit("Source contains no data.")).cast("binary")).otherwise(raw)
@@ -132,14 +155,13 @@ def _checked(x: Column) -> Column:
 
 def decompress(x: Column | str) -> Column:
     """The raw value of a compressed one; null stays null, a damaged value is an error."""
+    _bound_batches()
 
-    @F.pandas_udf("binary")
-    def raw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def raw(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tools = {1: pa.Codec("lz4_raw"), 2: pa.Codec("zstd")}
 
         def one(value):
-            if value is None:
-                return None
             tool, size = tools[value[20]], int.from_bytes(value[22:30], "big")
             n = int.from_bytes(value[30:34], "big")
             at, step, out = 34 + 4 * n, block_size(size), []
@@ -149,8 +171,7 @@ def decompress(x: Column | str) -> Column:
                 at += length
             return b"".join(out)
 
-        for s in batches:
-            yield s.map(one)
+        yield from _in_pieces(batches, one)
 
     return raw(_checked(_col(x).cast("binary")))
 

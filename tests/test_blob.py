@@ -1,7 +1,10 @@
 """Compression and hashing of binary values."""
 
 import os
+import re
+from pathlib import Path
 
+import psutil
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -33,6 +36,29 @@ def test_blocks():
     assert -(-1_000_000 // block_size(1_000_000)) == 48
 
 
+def worker_mb(what):
+    """This line of /proc/PID/status, in MB, of each Python worker and of what forks them."""
+    found = {}
+    for p in psutil.Process().children(recursive=True):
+        if "pyspark.daemon" in " ".join(p.cmdline()):
+            found[p.pid] = int(re.search(rf"{what}:\s+(\d+)", Path(f"/proc/{p.pid}/status").read_text())[1]) / 1024
+    return found
+
+
+@pytest.mark.parametrize("how", [("LZ4", 0, False)])
+def test_workers_memory_does_not_grow_with_the_batch(spark, how):
+    """170 MB of values in one task, which compressed are one small batch."""
+    big = spark.range(0, 150, 1, 1).select(F.expr("cast(repeat(concat('value ', id), 130000) as binary)").alias("x"))
+    small = spark.range(0, 1, 1, 1).select(F.lit(b"x").alias("x"))
+    same = decompress(compress("x", *how)).eqNullSafe(F.col("x"))
+    assert small.agg(F.every(same)).first()[0]
+    for pid in (before := worker_mb("VmRSS")):
+        Path(f"/proc/{pid}/clear_refs").write_text("5")  # VmHWM starts anew
+    assert tuple(big.agg(F.every(same), F.count("*")).first()) == (True, 150)
+    grown = {pid: mb - before.get(pid, min(before.values())) for pid, mb in worker_mb("VmHWM").items()}
+    assert len(grown) >= 3 and max(grown.values()) < 60
+
+
 def failing(df, column):
     with pytest.raises(PySparkException) as e:
         df.select(F.length(column)).collect()
