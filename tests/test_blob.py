@@ -45,7 +45,7 @@ def worker_mb(what):
     return found
 
 
-@pytest.mark.parametrize("how", [("LZ4", 0, False)])
+@pytest.mark.parametrize("how", [("LZ4", 0, False), ("ZSTD", 50, True)])
 def test_workers_memory_does_not_grow_with_the_batch(spark, how):
     """170 MB of values in one task, which compressed are one small batch."""
     big = spark.range(0, 150, 1, 1).select(F.expr("cast(repeat(concat('value ', id), 130000) as binary)").alias("x"))
