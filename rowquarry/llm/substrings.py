@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +38,10 @@ from .common import documents, raw_texts, shared_path, slices, written
 WINDOW = 13
 #: Words of the runs whose smallest hash is a window's fingerprint.
 RUN = 5
-#: Entries of a worker's cache of word hashes before it is emptied.
-CACHE = 400_000
+#: Bytes of texts whose words are found and hashed at once (a text is never split): arrays that fit a core's cache.
+STRETCH = 1 << 18
+#: Words of more bytes are hashed one by one.
+LONG = 64
 #: Runs of an index before they are compacted.
 MOST_RUNS = 8
 #: Batches of documents, by id, that the query feeds to its index.
@@ -54,64 +55,100 @@ _BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _MIX = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
-class _Numbers(dict):
-    """Words by number of first use; a new word is hashed as it comes."""
-
-    def __init__(self):
-        self.hashes = np.empty((2, 1 << 12), np.uint64)
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        n = self[word] = len(self)
-        if n == self.hashes.shape[1]:
-            self.hashes = np.concatenate([self.hashes, np.empty_like(self.hashes)], axis=1)
-        both = xxhash.xxh3_128_intdigest(word, 7)
-        self.hashes[:, n] = both & 0xFFFFFFFFFFFFFFFF, both >> 64
-        return n
+_LENGTH = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA0761D6478BD642F)
+_TURN = np.uint64(1), np.uint64(0xE7037ED1A0B428DB)
+#: What a word has of the eight bytes that are read, by its bytes from there on.
+_OWN = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+class Words:
+    """The words of texts, found and hashed all at once: the work of a word is a few array operations."""
+
+    def __init__(self, texts: list[bytes]):
+        self.raw = b" ".join([b"", *texts, b" " * 8])
+        self.bytes = np.frombuffer(self.raw, np.uint8)
+        white = (self.bytes == 0x20) | (self.bytes - np.uint8(9) < 5)
+        edges = np.flatnonzero(white[1:] != white[:-1]) + 1
+        self.start, self.end = edges[0::2], edges[1::2]
+        self.length = self.end - self.start
+        #: The number of each text's first word, and of all words.
+        self.first = np.searchsorted(self.start, np.cumsum([1, *(len(t) + 1 for t in texts)]))
+        self.counts = np.diff(self.first)
+        #: The number of each word's text.
+        self.text = np.repeat(np.arange(len(texts)), self.counts)
+
+    def hashes(self, family: int) -> np.ndarray:
+        """64-bit hashes of the words; the two families, 0 and 1, are independent."""
+        eight = np.ndarray(len(self.raw) - 7, "<u8", self.raw, 0, (1,))  # at every byte
+        h = self.length.astype(np.uint64) * _LENGTH[family]
+        h ^= eight[self.start] & _OWN[np.minimum(self.length, 8)]
+        h = _mixed(h * _TURN[family])
+        done, rest = 8, np.flatnonzero((self.length > 8) & (self.length <= LONG))
+        while len(rest):
+            part = eight[self.start[rest] + done] & _OWN[np.minimum(self.length[rest] - done, 8)]
+            h[rest] = _mixed((h[rest] ^ part) * _TURN[family])
+            done += 8
+            rest = rest[self.length[rest] > done]
+        for n in np.flatnonzero(self.length > LONG).tolist():
+            import xxhash
+
+            both = xxhash.xxh3_128_intdigest(self.raw[self.start[n] : self.end[n]], 7)
+            h[n] = both >> 64 * family & 0xFFFFFFFFFFFFFFFF
+        return h
+
+    def windows(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First words of the windows; which of these begin a row of windows of one text and fingerprint; these fingerprints."""
+        fp = window_fingerprints(low)
+        at = np.flatnonzero(self.text[WINDOW - 1 :] == self.text[: len(fp)])
+        fp, text = fp[at], self.text[at]
+        new = np.ones(len(at), bool)
+        new[1:] = (fp[1:] != fp[:-1]) | (text[1:] != text[:-1])
+        new = np.flatnonzero(new)
+        return at, new, fp[new]
+
+
+def _stretches(texts: list[bytes]) -> Iterator[slice]:
+    """Neighbouring texts of about ``STRETCH`` bytes."""
+    at = held = 0
+    for n, text in enumerate(texts, 1):
+        held += len(text) + 1
+        if held >= STRETCH or n == len(texts):
+            yield slice(at, n)
+            at, held = n, 0
 
 
 class WordHashes:
-    """Two independent 64-bit hashes of words, cached in one worker."""
-
-    def __init__(self):
-        self.numbers = _Numbers()
+    """Two independent 64-bit hashes of words."""
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.numbers) > CACHE:
-            self.numbers = _Numbers()
-        numbers = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        low, high = self.numbers.hashes
-        return low[numbers], high[numbers]
-
-
-_kept: list[WordHashes] = []
-
-
-def word_hashes() -> WordHashes:
-    """This process's hashes, which outlive the task.
-
-    Looked up by a function of the module: what a shipped closure names itself, it copies.
-    """
-    if not _kept:
-        _kept.append(WordHashes())
-    return _kept[0]
+        found = Words([b" ".join(words)])
+        return found.hashes(0), found.hashes(1)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * _MIX[0]
-    h = (h ^ (h >> np.uint64(29))) * _MIX[1]
-    return h ^ (h >> np.uint64(32))
+    h = h ^ (h >> np.uint64(33))
+    h *= _MIX[0]
+    h ^= h >> np.uint64(29)
+    h *= _MIX[1]
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def _rolled(h: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
-    """Hashes of all runs of ``n`` word hashes."""
-    m = _mixed(h ^ base)
-    size = max(len(h) - n + 1, 0)
-    out = np.zeros(size, np.uint64)
-    for i in range(n if size else 0):
-        out *= base
-        out += m[i : size + i]
+    """Hashes of all runs of ``n`` word hashes: a polynomial in ``base``, its length doubled by each two operations."""
+    if len(h) < n:
+        return np.empty(0, np.uint64)
+    m = out = _mixed(h ^ base)
+    size = 1
+    for bit in f"{n:b}"[1:]:
+        power = np.uint64(pow(int(base), size, 1 << 64))
+        longer = out[: len(out) - size] * power
+        longer += out[size:]
+        out, size = longer, 2 * size
+        if bit == "1":
+            longer = out[:-1] * base
+            longer += m[size:]
+            out, size = longer, size + 1
     return _mixed(out)
 
 
@@ -119,13 +156,24 @@ def window_fingerprints(h: np.ndarray) -> np.ndarray:
     """The fingerprint of each window, from the hashes of the words."""
     if len(h) < WINDOW:
         return np.empty(0, np.uint64)
-    runs = _rolled(h, RUN, _BASE[0])
-    low = runs[: len(h) - WINDOW + 1].copy()
-    for i in range(1, WINDOW - RUN + 1):
-        np.minimum(low, runs[i : i + len(low)], out=low)
+    low, size = _rolled(h, RUN, _BASE[0]), 1
+    while size < WINDOW - RUN + 1:
+        step = min(size, WINDOW - RUN + 1 - size)
+        low, size = np.minimum(low[:-step], low[step:]), size + step
     return low
 
 
+def _order(key: np.ndarray, *rest: np.ndarray) -> np.ndarray:
+    """The order by ``key``, then ``rest``: only where keys repeat is the rest looked at."""
+    order = np.argsort(key)
+    new = np.ones(len(key) + 1, bool)
+    new[1:-1] = key[order[1:]] != key[order[:-1]]
+    again = ~(new[1:] & new[:-1])
+    some = order[again]
+    order[again] = some[np.lexsort((*(r[some] for r in reversed(rest)), key[some]))]
+    return order
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
@@ -139,7 +187,7 @@ def fingerprints(rows: DataFrame) -> DataFrame:
 
     def block(fps: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
         fp, owner = np.concatenate(fps), np.concatenate(owners)
-        order = np.lexsort((owner, fp))
+        order = _order(fp, owner)
         fp, owner = fp[order], owner[order]
         if len(fp):  # rows that repeat an id
             new = np.concatenate([[True], (fp[1:] != fp[:-1]) | (owner[1:] != owner[:-1])])
@@ -151,12 +199,13 @@ def fingerprints(rows: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(fp[first]), pa.array(owner[first]), others], ["fp", "id", "others"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = word_hashes()
         fps, owners, held = [], [], 0
-        for b in slices(batches, 64):
-            for i, text in zip(b.column("id").to_numpy(), raw_texts(b, "text"), strict=True):
-                fp = np.unique(window_fingerprints(hashes.of(text.split())[0]).view(np.int64))
-                fps.append(fp), owners.append(np.full(len(fp), i, np.int64))
+        for b in slices(batches):
+            ids, texts = b.column("id").to_numpy(), raw_texts(b, "text")
+            for part in _stretches(texts):
+                words = Words(texts[part])
+                at, new, fp = words.windows(words.hashes(0))
+                fps.append(fp.view(np.int64)), owners.append(ids[part][words.text[at[new]]])
                 held += len(fp)
             if held >= BLOCK:
                 yield block(fps, owners)
@@ -167,15 +216,6 @@ def fingerprints(rows: DataFrame) -> DataFrame:
     return rows.where("id is not null").mapInArrow(run, COLUMNS)
 
 
-def _spans(flags: np.ndarray) -> np.ndarray:
-    """The words that a flagged window covers."""
-    at = flags.nonzero()[0]
-    edge = np.zeros(len(flags) + WINDOW, np.int32)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + WINDOW, -1)
-    return np.cumsum(edge)[:-1] > 0
-
-
 def _members(rows: DataFrame) -> DataFrame:
     """(id, fp) of every document in the rows of a run."""
     others = F.coalesce("others", F.array().cast("array<long>"))
@@ -347,21 +387,24 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     as such, once however often the window stands in it; for the others it is settled, and their
     starts travel packed.
     """
-    hashes = word_hashes()
     held: list[tuple[np.ndarray, ...]] = []
     count = 0
-    for b in slices(batches, 32):
-        for i, text, fps in zip(b.column("id").to_numpy(), _texts(b), b.column("fps"), strict=True):
-            low, high = hashes.of(text.split())
-            at = window_fingerprints(low)
+    for b in slices(batches, 64):
+        ids, texts, fps = b.column("id").to_numpy(), _texts(b), b.column("fps")
+        for part in _stretches(texts):
+            words = Words(texts[part])
+            low = words.hashes(0)
+            at, new, fp = words.windows(low)
             if not len(at):
                 continue
-            wanted = np.sort(fps.values.to_numpy().view(np.uint64))
-            place = np.minimum(np.searchsorted(wanted, at), len(wanted) - 1)
-            start = np.nonzero(wanted[place] == at)[0]
-            one, two = (_rolled(h, WINDOW, base)[start] for h, base in zip((low, high), _BASE, strict=True))
-            held.append((one.view(np.int64), two >> np.uint64(48), start, np.full(len(start), i, np.int64)))
-            count += len(start)
+            # a fingerprint that one of these texts shares is shared by all of them that have it
+            wanted = np.unique(fps[part].flatten().to_numpy().view(np.uint64))
+            place = np.minimum(np.searchsorted(wanted, fp), len(wanted) - 1)
+            at = at[np.repeat(wanted[place] == fp, np.diff(new, append=len(at)))]
+            one, two = (_rolled(h, WINDOW, base)[at] for h, base in zip((low, words.hashes(1)), _BASE, strict=True))
+            text = words.text[at]
+            held.append((one.view(np.int64), two >> np.uint64(48), at - words.first[text], ids[part][text]))
+            count += len(at)
         if count >= BLOCK:
             yield _settled(held)
             held, count = [], 0
@@ -371,7 +414,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _settled(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     one, two, start, owner = (np.concatenate(x) for x in zip(*held, strict=True))
-    order = np.lexsort((owner, two, one))
+    order = _order(one, two, owner)
     one, two, start, owner = one[order], two[order], start[order], owner[order]
     first = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
     least = owner[np.maximum.accumulate(np.where(first, np.arange(len(one)), 0))]
@@ -452,29 +495,54 @@ def _texts(b: pa.RecordBatch) -> list[bytes]:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, n_words, n_removed, kept) with the words of the flagged windows removed."""
-    hashes = word_hashes()
     for b in slices(batches, 64):
         n, removed, kept = [], [], []
-        for text, start, starts in zip(_texts(b), b.column("start"), b.column("starts").to_pylist(), strict=True):
-            words = text.split()
-            n.append(len(words))
-            if starts is not None and len(words) >= WINDOW:
-                flags = np.zeros(len(words) - WINDOW + 1, bool)
-                at = start.values.to_numpy()
-                if (at < 0).any():
-                    one = _rolled(hashes.of(words)[0], WINDOW, _BASE[0])
-                    flags |= np.isin(one, one[-1 - at[at < 0]])
-                for at in (at[at >= 0], np.frombuffer(b"".join(starts), "<i4")):
-                    flags[at[at < len(flags)]] = True
-                words = list(compress(words, (~_spans(flags)).tolist()))
-            removed.append(n[-1] - len(words))
-            kept.append(b" ".join(words))
+        texts, start, starts = _texts(b), b.column("start"), b.column("starts").to_pylist()
+        for part in _stretches(texts):
+            words = Words(texts[part])
+            gone = _gone(words, start[part], starts[part])
+            n.append(words.counts)
+            removed.append(np.diff(np.concatenate([[0], np.cumsum(gone)])[words.first]))
+            kept += _left(words, ~gone)
         yield pa.RecordBatch.from_arrays(
-            [b.column("id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
+            [b.column("id"), pa.array(np.concatenate(n)), pa.array(np.concatenate(removed)), pa.array(kept, pa.binary()).cast(pa.string())],
             ["id", "n_words", "n_removed", "kept"],
         )
 
 
+def _gone(words: Words, start: pa.Array, starts: list[list[bytes] | None]) -> np.ndarray:
+    """The words that a flagged window covers."""
+    flags = np.zeros(len(words.text), np.int64)
+    one = None
+    for text, packed in enumerate(starts):
+        first, size = words.first[text], words.counts[text] - WINDOW + 1
+        if packed is None or size <= 0:
+            continue
+        own = flags[first : first + size]
+        at = start[text].values.to_numpy()
+        if (at < 0).any():
+            if one is None:
+                one = _rolled(words.hashes(0), WINDOW, _BASE[0])
+            windows, repeated = one[first : first + size], -1 - at[at < 0]
+            own[np.isin(windows, windows[repeated[repeated < size]])] = 1
+        for more in (at[at >= 0], np.frombuffer(b"".join(packed), "<i4")):
+            own[more[more < size]] = 1
+    seen = np.cumsum(flags)
+    return seen > np.concatenate([np.zeros(WINDOW, np.int64), seen])[: len(seen)]
+
+
+def _left(words: Words, stays: np.ndarray) -> list[bytes]:
+    """Each text's words that stay, joined by one space."""
+    inside = np.zeros(len(words.bytes), np.int8)
+    inside[words.start[stays]] = 1
+    inside[words.end[stays] + 1] -= 1  # the white space after a word goes with it, as a space
+    text = words.bytes.copy()
+    text[words.end] = 0x20
+    text = text[np.cumsum(inside, dtype=np.int8).view(bool)].tobytes()
+    bounds = np.concatenate([[0], np.cumsum((words.length + 1) * stays)])[words.first].tolist()
+    return [text[a : max(a, b - 1)] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents in ``BATCHES`` batches of growing ids, each merged with the index of those before."""
     docs = documents(spark, sf_dir)

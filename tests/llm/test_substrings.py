@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,3 +138,35 @@ def test_a_window_that_repeats_within_documents(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(substrings, "BLOCK", block)
         df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
         assert found(index(spark, tmp_path, f"rep{block}").deduplicate(df)) == brute(docs)
+
+
+def test_words_are_found_and_told_apart():
+    pieces = [b"a", b"a\0", b"\0a", b"\0", b"x" * 8, b"x" * 9, b"x" * 16, b"x" * 64, b"x" * 65, b"x" * 64 + b"y", "é  ".encode(), b"\x1c\x85"]
+    long = [b"x" * 7 + c + b"x" * n for n in (0, 1, 8, 56, 57, 300) for c in (b"u", b"v")]
+    docs = [b"", b" \t\n\x0b\x0c\r ", b" ".join(pieces), b"\n" + b"\t \r".join(long + pieces) + b"\x0b", b"a", b"", b" a\x0ca"]
+    found = substrings.Words(docs)
+    cut = [d.split() for d in docs]
+    assert found.counts.tolist() == [len(c) for c in cut]
+    assert substrings._left(found, found.length > 0) == [b" ".join(c) for c in cut]
+    assert substrings._left(found, found.length > 8) == [b" ".join(w for w in c if len(w) > 8) for c in cut]
+    for family in (0, 1):
+        of = {}
+        for word, h in zip([w for c in cut for w in c], found.hashes(family).tolist(), strict=True):
+            of.setdefault(word, set()).add(h)
+        assert all(len(h) == 1 for h in of.values()) and len(set.union(*of.values())) == len(of) == len(set(pieces + long))
+    assert not set(found.hashes(0).tolist()) & set(found.hashes(1).tolist())
+
+
+def test_hashing_words_costs_little_more_than_finding_them():
+    words = [b"word%d" % (k * 7919 % 200_003) for k in range(400_000)]
+    text = b" ".join(words)
+
+    def least(work):
+        took = []
+        for _ in range(3):
+            began = time.thread_time()
+            work()
+            took.append(time.thread_time() - began)
+        return min(took)
+
+    assert least(lambda: substrings.WordHashes().of(words)) < 6 * least(text.split)
